@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from tidemark.llm import chat, sharding, url_filter
+from tidemark.llm import chat, decontaminate, pieces, sharding, tokens, url_filter
 
 QUERIES = {
+    "op1_decontamination": decontaminate.op1_decontamination,
+    "op3_sentencepiece": pieces.op3_sentencepiece,
+    "op4_token_counts": tokens.op4_token_counts,
     "op8_url_filter": url_filter.op8_url_filter,
     "op9_perspectives": chat.op9_perspectives,
     "op10_hilbert_sharding": sharding.op10_hilbert_sharding,
 }
 ORACLES = {
+    "op1_decontamination": decontaminate.ORACLE_OP1,
     "op8_url_filter": url_filter.ORACLE_OP8,
     "op9_perspectives": chat.ORACLE_OP9,
 }
