@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_arrow, table
+from tidemark.llm.common import map_arrow, share, table
 
 #: Vectors that the centres are fitted on at most, and components of a block.
 SAMPLE, PART = 4096, 2
@@ -138,7 +138,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, rerank: int = R
     rows = rows.where(F.size("embedding") == dim)
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "embedding").limit(SAMPLE).select("embedding").collect()
     model = Quantiser(np.array([r.embedding for r in sample]))
-    held = spark.sparkContext.broadcast(model)
+    held = share(spark, model)
 
     asked = queries.select("vec_id", "embedding").where("vec_id is not null and embedding is not null").where(finite & F.exists("embedding", lambda v: v != 0)).where(F.size("embedding") == dim)
     asked = asked.groupBy("vec_id").agg(F.min(F.col("embedding").cast("array<double>")).alias("embedding"))
@@ -150,10 +150,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, rerank: int = R
         block = mine.orderBy("vec_id").collect()  # QUERY_BLOCK rows, give or take how evenly the ids hash
         if not block:
             continue
-        sent = spark.sparkContext.broadcast((np.array([r.vec_id for r in block]), np.array([r.embedding for r in block])))
+        sent = share(spark, (np.array([r.vec_id for r in block]), np.array([r.embedding for r in block])))
 
         def scan(batches, sent=sent) -> Iterator[dict]:
-            model, (qid, q) = held.value, sent.value
+            model, (qid, q) = held(), sent()
             tables = model.tables(q)
             for ids, vecs in batches:
                 order = np.argsort(np.asarray(ids), kind="stable")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
 import sys
 from collections.abc import Callable
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +50,40 @@ def worker_cache(name: str, make: Callable[[], object]):
     return held[name]
 
 
+def share(spark: SparkSession, value) -> Callable[[], object]:
+    """Broadcasts a value of bounded size; in a worker, calling the result gives the value.
+
+    It travels as bytes with its classes inside, so workers need not import them.
+    """
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(sent.value)
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir, made the context's if it is not yet.
+
+    A folder of this machine's own is set only where there is none and everything
+    runs on this machine.
+    """
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
+            import tempfile
+
+            folder = tempfile.mkdtemp(prefix="checkpoints-")
+        context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, written to the cluster's checkpoint folder and read from there."""
+    checkpoint_folder(df.sparkSession)
+    return df.checkpoint()
+
+
 def map_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
     """mapInArrow where fn turns an iterator of column lists into one of column dicts."""
     from pyspark.sql.types import StructType, _parse_datatype_string

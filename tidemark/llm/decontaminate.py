@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORDS, map_arrow, split, table
+from tidemark.llm.common import WORDS, checkpointed, map_arrow, share, split, table
 
 #: Words of a window, and of the shingles that windows are indexed by.
 WINDOW, SHINGLE = 10, 3
@@ -133,7 +133,7 @@ def _count_shingles(docs: DataFrame, held, sizes: int) -> list[tuple[int, int, i
     """Occurrences in the corpus of each shingle in the broadcast; counts are combined before the shuffle."""
 
     def count(batches) -> Iterator[dict]:
-        index = held.value
+        index = held()
         sums = [np.zeros(len(k), np.int64) for k in index.keys]
         for (texts,) in batches:
             for text in texts:
@@ -161,13 +161,13 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
-SCHEMA = "doc_id {id}, text string, n_words long, spans array<struct<start:long,end:long>>, items array<string>"
+SCHEMA = "text string, n_words long, spans array<struct<start:long,end:long>>, items array<string>"
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Where documents (doc_id, text) hold windows of items (item_id, text).
+def contamination(docs: DataFrame, items: DataFrame, keep: list[str], window: int = WINDOW, shingle: int = SHINGLE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Where documents (text) hold windows of items (item_id, text).
 
-    One row for each document row: doc_id, text, n_words, spans (merged [start, end)
+    One row for each document row: the columns `keep`, text, n_words, spans (merged [start, end)
     word ranges inside occurrences) and items (ids as strings, sorted, distinct).
     Null and empty texts have no words and no hits; repeated documents stay repeated;
     items with a null id, or without words, take no part; repeated items count once.
@@ -177,26 +177,25 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
     items = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = SCHEMA.format(id=kind)
-    found = docs.select("doc_id", "text", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<start:long,end:long>>").alias("spans"), F.array().cast("array<string>").alias("items"))
+    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), SCHEMA])
+    found = docs.select(*keep, "text", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<start:long,end:long>>").alias("spans"), F.array().cast("array<string>").alias("items"))
     for b in range(blocks):
         mine = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b) if blocks > 1 else items
         # Bounded by block_bytes, give or take how evenly the ids hash.
         texts = [(i, w) for i, t in mine.collect() if (w := split(t, WORDS))]
         index = Windows(texts, window, shingle)
         if index.sizes:
-            held = spark.sparkContext.broadcast(index)
+            held = share(spark, index)
             counts = [np.zeros(len(k), np.int64) for k in index.keys]
             for which, key, n in _count_shingles(docs, held, len(index.sizes)):
                 counts[which][key] = n
             index.choose(counts)
-        probe = spark.sparkContext.broadcast(index)
+        probe = share(spark, index)
 
         def scan(batches, probe=probe) -> Iterator[dict]:
-            index = probe.value
-            for ids, texts, _, spans, hits in batches:
-                out = {"doc_id": ids, "text": texts, "n_words": [], "spans": [], "items": []}
+            index = probe()
+            for *kept, texts, _, spans, hits in batches:
+                out = dict(zip(keep, kept, strict=True)) | {"text": texts, "n_words": [], "spans": [], "items": []}
                 for text, span, hit in zip(texts, spans, hits, strict=True):
                     words = split(text, WORDS)
                     span, hit = [(x["start"], x["end"]) for x in span], set(hit)
@@ -210,14 +209,20 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
                 yield out
 
         if b:
-            found = found.checkpoint()
+            found = checkpointed(found)
         found = map_arrow(found, scan, schema)
     return found
 
 
+def keep_clean(docs: DataFrame, items: DataFrame, columns: list[str]) -> DataFrame:
+    """The named columns of those rows of docs that hold no window of an item."""
+    found = contamination(docs, items, [c for c in columns if c != "text"])
+    return found.where(F.size("spans") == 0).select(*columns)
+
+
 def op1_decontamination(spark, sf_dir: str) -> DataFrame:
     """Hits of every benchmark window in every document, as counts and a digest of the items."""
-    found = contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     return found.select(
         "doc_id",

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import TOKENS, held_out, map_arrow, split, table, worker_cache
+from tidemark.llm.common import TOKENS, checkpointed, held_out, map_arrow, share, split, table, worker_cache
 
 #: Symbols, of which so many are buckets; width of the model; words whose counts are broadcast.
 SYMBOLS, BUCKETS, WIDTH, HEAD = 1024, 256, 16, 200_000
@@ -62,9 +62,9 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 held.update(split(t, TOKENS))
             held[b"\n"] += len(texts)
             if len(held) > 1 << 20:
-                yield {"word": [_name(w) for w in held], "n": list(held.values())}
+                yield {"word": [_name(w) for w in held], "n": list(held()s())}
                 held = Counter()
-        yield {"word": [END if w == b"\n" else _name(w) for w in held], "n": list(held.values())}
+        yield {"word": [END if w == b"\n" else _name(w) for w in held], "n": list(held()s())}
 
     return map_arrow(docs.select("text"), run, "word string, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
@@ -175,11 +175,11 @@ class Scorer:
 
 def _train(docs: DataFrame, head, unigram: np.ndarray) -> Scorer:
     """Trains on every partition and averages; what comes back has SYMBOLS rows, whatever the corpus."""
-    start = docs.sparkSession.sparkContext.broadcast(unigram)
+    start = share(docs.sparkSession, unigram)
 
     def run(batches) -> Iterator[dict]:
-        model, rng = LogBilinear(start.value), np.random.default_rng(5)
-        keys = _Keys(head.value)
+        model, rng = LogBilinear(start()), np.random.default_rng(5)
+        keys = _Keys(head())
         seen = [np.zeros(SYMBOLS) for _ in range(3)]
         w_, a_, b_, waiting = [], [], [], 0
 
@@ -198,7 +198,7 @@ def _train(docs: DataFrame, head, unigram: np.ndarray) -> Scorer:
 
         for (texts,) in batches:
             if len(keys) > 1 << 19:
-                keys = _Keys(head.value)
+                keys = _Keys(head())
             flat = list(_numbered(texts, keys))
             symbols = np.array(keys.symbols, np.int64)
             for ids in flat:
@@ -239,13 +239,13 @@ def score_texts(docs: DataFrame, learn_from: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     counts = word_counts(learn_from)
     # The counts are used three times; written once, they also outlive their executors.
-    counts = counts.checkpoint()
+    counts = checkpointed(counts)
     top = counts.orderBy(F.desc("c"), "word").limit(HEAD).collect()  # HEAD words of LONG bytes at most
     size = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     head = Head([(r.word, r.c) for r in top], size.n, size.v)
 
     def by_bucket(batches) -> Iterator[dict]:
-        h, sums = symbols.value, np.zeros(SYMBOLS)
+        h, sums = symbols(), np.zeros(SYMBOLS)
         for words, cs in batches:
             for w, c in zip(words, cs, strict=True):
                 s = h.get(w)
@@ -255,22 +255,22 @@ def score_texts(docs: DataFrame, learn_from: DataFrame) -> DataFrame:
                     sums[s] += c + 0.5
         yield {"at": range(SYMBOLS), "m": sums}
 
-    symbols = spark.sparkContext.broadcast(head.symbol)
+    symbols = share(spark, head.symbol)
     mass = np.zeros(SYMBOLS)
     for r in map_arrow(counts, by_bucket, "at int, m double").groupBy("at").agg(F.sum("m").alias("m")).collect():
         mass[r["at"]] = r.m
     mass[:BUCKETS] += 0.5  # a slot for unseen words
     mass[mass == 0] = 0.5
-    held = spark.sparkContext.broadcast(head)
+    held = share(spark, head)
     scorer = _train(learn_from, held, mass / mass.sum())
     total = size.n + 0.5 * (size.v + 1)
-    model = spark.sparkContext.broadcast((scorer, np.log10(mass), np.log10(total)))
+    model = share(spark, (scorer, np.log10(mass), np.log10(total)))
 
     def run(batches) -> Iterator[dict]:
-        (scorer, log_mass, log_total), keys = model.value, _Keys(held.value)
+        (scorer, log_mass, log_total), keys = model(), _Keys(held())
         for rows, ids, texts in batches:
             if len(keys) > 1 << 19:
-                keys = _Keys(held.value)
+                keys = _Keys(held())
             out = {k: [] for k in ("row", "doc_id", "n_tokens", "n_known", "base", "score", "tail", "times")}
             flat = list(_numbered(texts, keys))
             symbols, counts = np.array(keys.symbols, np.int64), np.array(keys.counts, np.int64)
@@ -295,7 +295,7 @@ def score_texts(docs: DataFrame, learn_from: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"row long, doc_id {kind}, n_tokens long, n_known long, base double, score double, tail array<string>, times array<int>"
     # Row numbers must not change if a task runs again for one side of the join only.
-    scored = map_arrow(named, run, schema).checkpoint()
+    scored = checkpointed(map_arrow(named, run, schema))
     tail = scored.select("row", F.explode(F.arrays_zip("tail", "times")).alias("t")).select("row", F.col("t.tail").alias("word"), F.col("t.times").alias("times"))
     known = tail.join(counts, "word", "left")
     value = F.col("times") * F.log10(F.coalesce(F.col("c"), F.lit(0)) + 0.5)

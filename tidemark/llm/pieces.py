@@ -197,8 +197,8 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
     return map_arrow(encoded.select("doc_id", "ids"), run, f"doc_id {_kind(encoded)}, text string")
 
 
-def round_trip(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, text) to (doc_id, n_tokens, ids_sha256, restored): encodes and decodes every whole text.
+def round_trip(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
+    """(doc_id, text) to (doc_id, n_tokens, ids_sha256, restored) and perhaps ids: encodes and decodes every whole text.
 
     ids_sha256 is over the ids as little-endian 32-bit integers; restored says that
     decoding gives the text back, in which the model's mark counts as a space.
@@ -212,12 +212,13 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
                 ids = model.encode(texts[g])
                 yield {
                     "doc_id": keys[g],
+                    "ids": ids,
                     "n_tokens": [len(x) for x in ids],
                     "ids_sha256": [hashlib.sha256(np.asarray(x, "<i4").tobytes()).hexdigest() for x in ids],
                     "restored": [model.decode(x) == (t or "").replace(MARK, " ") for x, t in zip(ids, texts[g], strict=True)],
                 }
 
-    return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {_kind(docs)}, n_tokens long, ids_sha256 string, restored boolean")
+    return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {_kind(docs)}, n_tokens long, ids_sha256 string, restored boolean" + ", ids array<int>" * with_ids)
 
 
 def op3_sentencepiece(spark, sf_dir: str) -> DataFrame:

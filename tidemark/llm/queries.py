@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import ann, chat, decontaminate, lm, pieces, sharding, tokens, toxicity, url_filter
+from tidemark.llm import ann, chat, decontaminate, jaccard, lm, pieces, sharding, tokens, toxicity, url_filter
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_token_counts": tokens.op4_token_counts,
     "op5_nearest_vectors": ann.op5_nearest_vectors,
     "op6_lm_scores": lm.op6_lm_scores,
+    "op7_jaccard_classes": jaccard.op7_jaccard_classes,
     "op8_url_filter": url_filter.op8_url_filter,
     "op9_perspectives": chat.op9_perspectives,
     "op10_hilbert_sharding": sharding.op10_hilbert_sharding,

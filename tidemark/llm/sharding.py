@@ -39,29 +39,33 @@ def hilbert_index(dims: list[Column], bits: int) -> Column:
         is_set = here.bitwiseAND(q) != 0
 
         def coordinate(v: Column, j: Column) -> Column:
-            head = F.when(is_set, first.bitwiseXOR(low)).otherwise(first.bitwiseXOR(swap))
+            head = F.when(is_set, v.bitwiseXOR(low)).otherwise(v.bitwiseXOR(swap))
             return F.when(j == 0, head).when((j == i) & ~is_set, v.bitwiseXOR(swap)).otherwise(v)
 
         return F.transform(acc, coordinate)
 
     if steps is not None:
         x = F.aggregate(steps, x, excess)
-    # Gray decoding: each coordinate takes in the ones before it.
-    x = F.transform(x, lambda v, j: F.aggregate(F.slice(x, F.lit(1), j + 1), F.lit(0).cast("long"), lambda a, b: a.bitwiseXOR(b)))
-    last = F.element_at(x, -1)
-    fix = F.lit(0).cast("long")
-    if bits > 1:
-        fix = F.aggregate(
-            F.sequence(F.lit(bits - 1), F.lit(1), F.lit(-1)),
-            fix,
-            lambda a, q: F.when(last.bitwiseAND(_power(q)) != 0, a.bitwiseXOR(_power(q) - 1)).otherwise(a),
-        )
-    x = F.transform(x, lambda v: v.bitwiseXOR(fix))
-    return F.aggregate(
-        F.sequence(F.lit(bits - 1), F.lit(0), F.lit(-1)),
-        F.lit(0).cast("long"),
-        lambda a, q: F.aggregate(x, a, lambda b, v: b * 2 + F.when(v.bitwiseAND(_power(q)) != 0, 1).otherwise(0)),
-    )
+    powers = F.array(*[F.lit(2**q).cast("long") for q in range(bits - 1, -1, -1)])
+
+    def gray(x: Column) -> Column:
+        """Each coordinate takes in the ones before it."""
+        return F.transform(x, lambda v, j: F.aggregate(F.slice(x, F.lit(1), j + 1), F.lit(0).cast("long"), lambda a, b: a.bitwiseXOR(b)))
+
+    def flip(x: Column) -> Column:
+        last = F.element_at(x, -1)
+        fix = F.aggregate(powers, F.lit(0).cast("long"), lambda a, p: F.when(last.bitwiseAND(p) != 0, a.bitwiseXOR(p - 1)).otherwise(a))
+        return _let(fix, lambda t: F.transform(x, lambda v: v.bitwiseXOR(t)))
+
+    def interleave(x: Column) -> Column:
+        return F.aggregate(powers, F.lit(0).cast("long"), lambda a, p: F.aggregate(x, a, lambda b, v: b * 2 + F.when(v.bitwiseAND(p) != 0, 1).otherwise(0)))
+
+    return _let(x, lambda x: _let(gray(x), lambda y: _let(flip(y), interleave)))
+
+
+def _let(value: Column, body) -> Column:
+    """body(value) with value worked out once: inside a lambda every use of an expression would be worked out again."""
+    return F.transform(F.array(value), body)[0]
 
 
 def _power(q: Column) -> Column:

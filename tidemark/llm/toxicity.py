@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORDS, held_out, map_arrow, split, table, worker_cache
+from tidemark.llm.common import WORDS, held_out, map_arrow, share, split, table, worker_cache
 
 #: Labelled documents that the classifier is fitted on at most: those with the smallest hashes of their ids.
 TRAIN_ROWS = 1 << 14
@@ -118,10 +118,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[np.
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], keep: list[str]) -> DataFrame:
     """The columns `keep` of docs plus score, from 0 to 1, of each whole text. Null texts score as empty ones do."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = share(docs.sparkSession, model)
 
     def run(batches) -> Iterator[dict]:
-        at, w, bias = held.value
+        at, w, bias = held()
         dense = np.zeros(2**BITS)
         dense[at] = w
         for cols in batches:
