@@ -17,17 +17,19 @@ with too few parts for the guarantee also gives its first D + 1 shingles singly.
 Groups that share a part sketch: small ones give all their pairs, larger ones a star
 around their smallest member, of which each map task forwards one document. What a
 star has not settled is settled after the first round: members of a large group that
-are still in different classes are paired too. All pairs are verified on the words of
-the whole texts, so the links between classes are exact.
+are still in different classes are paired too. Pairs whose sizes or whose bit sketches
+of the whole sets already exceed the bound on differences are dropped; all others are
+verified on the words of the whole texts, so the links between classes are exact.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import TOKENS, checkpointed, map_arrow, share, split, table, worker_cache
@@ -36,6 +38,8 @@ from tidemark.llm.common import TOKENS, checkpointed, map_arrow, share, split, t
 SHINGLE, PERCENT = 5, 75
 #: Groups up to this size give all pairs; shingles held hot at most, and seen so often by one task to be offered.
 SMALL, HOT, OFTEN = 8, 1 << 17, 8
+#: Numbers of 64 bits in the bit sketch of a whole set.
+BITS64 = 16
 #: Entries that a map task sorts together, and words whose hashes a worker remembers.
 FLUSH, HELD = 1 << 20, 1 << 19
 #: Document ids that are broadcast at most (8 bytes each); beyond it they are joined by a shuffle.
@@ -82,6 +86,19 @@ def largest_partner(n: int) -> int:
     return n * 100 // PERCENT
 
 
+def bit_sketch(h: np.ndarray) -> np.ndarray:
+    """For each of 64 * BITS64 bits whether an odd number of the hashes falls on it."""
+    odd = np.bincount((h >> np.uint64(8)).astype(np.int64) % (64 * BITS64), minlength=64 * BITS64) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def can_link(left: str, right: str) -> Column:
+    """Whether sizes and bit sketches of two sets, in columns with these prefixes, allow a link."""
+    n, m = F.col(f"{left}n"), F.col(f"{right}n")
+    apart = reduce(lambda a, b: a + b, [F.bit_count(F.col(f"{left}s{i}").bitwiseXOR(F.col(f"{right}s{i}"))) for i in range(BITS64)])
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * PERCENT) & (apart * (100 + PERCENT) <= (n + m) * (100 - PERCENT))
+
+
 def bands(n: int) -> Iterator[tuple[int, int]]:
     """The size bands in which a document is sketched: their number and the largest partner there."""
     own = n.bit_length() - 1
@@ -146,18 +163,20 @@ def _describe(docs: DataFrame) -> DataFrame:
 
         def rows(info, seen, n) -> dict:
             k, m = len(info), len(seen)
-            cols = list(zip(*info, strict=True)) if info else [()] * 4
+            cols = list(zip(*info, strict=True)) if info else [()] * 5
+            bits = np.array(cols[4]).reshape(k, BITS64) if k else np.empty((0, BITS64), np.int64)
+            none = [None] * m
             return {
-                "doc_id": [*cols[0], *[None] * m], "n": [*cols[1], *n.tolist()], "h1": [*cols[2], *[None] * m],
-                "h2": [*cols[3], *[None] * m], "shingle": [*[None] * k, *seen.astype(np.int64).tolist()],
-            }
+                "doc_id": [*cols[0], *none], "n": [*cols[1], *n.tolist()], "h1": [*cols[2], *none], "h2": [*cols[3], *none],
+                "shingle": [*[None] * k, *seen.astype(np.int64).tolist()],
+            } | {f"s{i}": [*bits[:, i].tolist(), *none] for i in range(BITS64)}
 
         for ids, texts in batches:
             info = []
             for key, text in zip(ids, texts, strict=True):
                 h = shingle_hashes(text)
                 digest = hashlib.blake2b(h.tobytes(), digest_size=16).digest()
-                info.append((key, len(h), int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)))
+                info.append((key, len(h), int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), bit_sketch(h)))
                 kept.append(h)
                 waiting += len(h)
                 if waiting > 4 * FLUSH:
@@ -167,7 +186,7 @@ def _describe(docs: DataFrame) -> DataFrame:
         if waiting:
             yield rows([], *often())
 
-    return map_arrow(docs, run, "doc_id long, n long, h1 long, h2 long, shingle long")
+    return map_arrow(docs, run, "doc_id long, n long, h1 long, h2 long, shingle long, " + ", ".join(f"s{i} long" for i in range(BITS64)))
 
 
 def _pairs_of(members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -355,7 +374,7 @@ def similar_classes(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     described = checkpointed(_describe(docs))
-    info = described.where("shingle is null").drop("shingle")
+    info = described.where("shingle is null")
     # HOT shingles at most.
     often = described.where("shingle is not null").groupBy("shingle").agg(F.sum("n").alias("c")).orderBy(F.desc("c"), "shingle").limit(HOT).select("shingle").toPandas()["shingle"].to_numpy(np.int64)
     hot = np.sort(often.view(np.uint64))
@@ -364,17 +383,22 @@ def similar_classes(docs: DataFrame) -> DataFrame:
 
     # Sets that are equal are one class, known by its smallest document.
     full = info.where("n > 0 and doc_id is not null")
-    classes = full.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"))
-    member = checkpointed(full.join(classes, ["n", "h1", "h2"]).select("doc_id", "rep").distinct())
+    sketch = [f"s{i}" for i in range(BITS64)]
+    classes = checkpointed(full.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in sketch]))
+    member = checkpointed(full.select("doc_id", "n", "h1", "h2").join(classes.select("n", "h1", "h2", "rep"), ["n", "h1", "h2"]).select("doc_id", "rep").distinct())
     rep_a = member.select(F.col("doc_id").alias("a"), F.col("rep").alias("ra"))
     rep_b = member.select(F.col("doc_id").alias("b"), F.col("rep").alias("rb"))
     same = member.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
 
-    def between(pairs: DataFrame) -> DataFrame:
-        ends = pairs.join(rep_a, "a").join(rep_b, "b").where("ra <> rb")
-        return ends.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
+    def sketched(key: str, prefix: str) -> DataFrame:
+        return classes.select(F.col("rep").alias(key), *[F.col(c).alias(f"{prefix}{c}") for c in ("n", *sketch)])
+
+    def allowed(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sketched("a", "x_"), "a").join(sketched("b", "y_"), "b")
+        return both.where(can_link("x_", "y_")).select("a", "b").distinct()
 
-    pairs = checkpointed(between(found.where("sig is null").select("a", "b").distinct()))
+    ends = found.where("sig is null").select("a", "b").distinct().join(rep_a, "a").join(rep_b, "b").where("ra <> rb")
+    pairs = checkpointed(allowed(ends.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()))
     links = checkpointed(_verify(pairs, docs))
     labels = components(links.union(same))
 
@@ -384,12 +408,14 @@ def similar_classes(docs: DataFrame) -> DataFrame:
     open_ = large.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("sig")
     large = checkpointed(large.join(open_, "sig"))
     if not large.isEmpty():
-        one = large.select("sig", F.col("node").alias("a"), F.col("label").alias("la"))
-        two = large.select("sig", F.col("node").alias("b"), F.col("label").alias("lb"))
-        more = one.join(two, "sig").where("la < lb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        one = large.select("sig", F.col("node").alias("a"), F.col("label").alias("la")).join(sketched("a", "x_"), "a")
+        two = large.select("sig", F.col("node").alias("b"), F.col("label").alias("lb")).join(sketched("b", "y_"), "b")
+        apart = one.join(two, (one.sig == two.sig) & (F.col("la") < F.col("lb")) & can_link("x_", "y_"))
+        more = apart.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         more = checkpointed(more.join(pairs, ["a", "b"], "left_anti"))
         if not more.isEmpty():
             labels = components(links.union(_verify(more, docs)).union(same))
+    info = info.select("doc_id", "n")
     named = labels.select(F.col("node").alias("doc_id"), "label")
     return info.join(named, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "doc_id").alias("component_id"))
 
