@@ -85,8 +85,9 @@ def host_reputation(outcomes: DataFrame) -> DataFrame:
     hosts = hosts.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
     domains = hosts.groupBy("domain").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).withColumn("suffix", suffix_of(F.col("domain")))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    # One row each: the whole table's rate under a Laplace prior, then each level's strength.
-    top = suffixes.agg(((F.coalesce(F.sum("k"), F.lit(0.0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0.0)) + 2)).alias("mean"))
+    # One row each: the whole table's rate, which two pages at half the limit start (so that
+    # nothing is blocked without labels), then each level's strength.
+    top = suffixes.agg(((F.coalesce(F.sum("k"), F.lit(0.0)) + LIMIT) / (F.coalesce(F.sum("n"), F.lit(0.0)) + 2)).alias("mean"))
 
     def posterior(level: DataFrame, keep: list[str]) -> DataFrame:
         rated = level.join(F.broadcast(_strength(level)))
@@ -141,7 +142,7 @@ WITH parsed AS (
 ), d0 AS (
   SELECT domain, sum(n) AS n, sum(k) AS k, string_split(domain, '.')[-1] AS suffix FROM h1 GROUP BY domain
 ), s0 AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM d0 GROUP BY suffix),
-s1 AS (SELECT s0.*, (SELECT (coalesce(sum(k), 0) + 1) / (coalesce(sum(n), 0) + 2) FROM s0) AS mean FROM s0),
+s1 AS (SELECT s0.*, (SELECT (coalesce(sum(k), 0) + 0.2::DOUBLE) / (coalesce(sum(n), 0) + 2) FROM s0) AS mean FROM s0),
 sm AS (SELECT 'x' AS one, sum(n * (k / n - mean) * (k / n - mean)) AS s, sum(mean * (1 - mean)) AS e, sum(mean * (1 - mean) * (n - 1)) AS r FROM s1 WHERE n > 0),
 ss AS (SELECT coalesce(CASE WHEN r > 0 AND (s - e) / r > 0 THEN greatest(1.0, least(1000.0, r / (s - e) - 1)) ELSE 1000.0 END, 1000.0) AS strength FROM sm),
 s2 AS (SELECT suffix, (mean * strength + k) / (strength + n) AS post FROM s1, ss),
