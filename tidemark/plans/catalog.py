@@ -6,6 +6,7 @@ rounded, since sums depend on the order of their terms.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -65,9 +66,17 @@ def targets(spark: SparkSession, sf: str, tf: str = "5m") -> DataFrame:
     return I.drop_warmup(I.forward_returns(frame(spark, sf, tf)), WARM)
 
 
+_held: dict[tuple[str, str], DataFrame] = {}
+
+
 def master(spark: SparkSession, sf: str) -> DataFrame:
-    frames = {"5m": targets(spark, sf), **{tf: frame(spark, sf, tf) for tf in HIGHER}}
-    return J.master(frames)
+    """The master table, which a session keeps for the data it last asked for: most queries below read it, some several times."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _held:
+        _held.clear()
+        frames = {"5m": targets(spark, sf), **{tf: frame(spark, sf, tf) for tf in HIGHER}}
+        _held[key] = J.master(frames).persist(StorageLevel.MEMORY_AND_DISK)
+    return _held[key]
 
 
 def splits(df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
