@@ -19,7 +19,8 @@ around their smallest member, of which each map task forwards one document. What
 star has not settled is settled after the first round: members of a large group that
 are still in different classes are paired too. Pairs whose sizes or whose bit sketches
 of the whole sets already exceed the bound on differences are dropped; all others are
-verified on the words of the whole texts, so the links between classes are exact.
+verified on the shingles of the whole texts, each by a 64-bit hash of its words, so no
+link is lost and a false one would take many colliding hashes in one pair.
 """
 
 from __future__ import annotations
@@ -307,31 +308,25 @@ def _candidates(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
 
 
 def _verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts link, by the words themselves."""
+    """The pairs (a, b) whose texts link, by the 64-bit hashes of all their shingles."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     texts = docs.join(F.broadcast(ids) if few else ids, docs.doc_id == ids.id).select("id", "text")
     texts = texts.groupBy("id", F.xxhash64("text").alias("_t")).agg(F.first("text").alias("text")).drop("_t")
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
 
-    def shingles(text) -> set:
-        words = split(text, TOKENS)
-        return set(zip(*(words[i:] for i in range(SHINGLE)), strict=False)) if len(words) >= SHINGLE else {tuple(words)} if words else set()
-
     def run(batches) -> Iterator[dict]:
         for a, b, ta, tb in batches:
-            known: dict[str, set] = {}
+            known: dict[str, np.ndarray] = {}
             out = {"a": [], "b": []}
             for x, y, s, t in zip(a, b, ta, tb, strict=True):
                 if len(known) > 64:
                     known.clear()
                 if s not in known:
-                    known[s] = shingles(s)
-                u, v = known[s], shingles(t)
-                if min(len(u), len(v)) * 100 < PERCENT * max(len(u), len(v)):
-                    continue
-                both = len(u & v)
-                if both and 100 * both >= PERCENT * (len(u) + len(v) - both):
+                    known[s] = shingle_hashes(s)
+                u, v = known[s], shingle_hashes(t)
+                common = len(np.intersect1d(u, v, assume_unique=True))
+                if common and 100 * common >= PERCENT * (len(u) + len(v) - common):
                     out["a"].append(x)
                     out["b"].append(y)
             yield out
