@@ -18,9 +18,11 @@ Groups that share a part sketch: small ones give all their pairs, larger ones a
 around their smallest member, of which each map task forwards one document. What a
 star has not settled is settled after the first round: members of a large group that
 are still in different classes are paired too. Pairs whose sizes or whose bit sketches
-of the whole sets already exceed the bound on differences are dropped; all others are
-verified on the shingles of the whole texts, each by a 64-bit hash of its words, so no
-link is lost and a false one would take many colliding hashes in one pair.
+of the whole sets already exceed the bound on differences are dropped. Each document
+is verified first against the candidate nearest by sketch; of the other pairs those
+whose ends are by then in one class can change nothing, and the rest is verified too.
+Verification compares the shingles of the whole texts, each by a 64-bit hash of its
+words, so no class is missed and a false link would take many colliding hashes.
 """
 
 from __future__ import annotations
@@ -93,11 +95,15 @@ def bit_sketch(h: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def bits_apart(left: str, right: str) -> Column:
+    """The bits in which two sets' sketches, in columns with these prefixes, differ."""
+    return reduce(lambda a, b: a + b, [F.bit_count(F.col(f"{left}s{i}").bitwiseXOR(F.col(f"{right}s{i}"))) for i in range(BITS64)])
+
+
 def can_link(left: str, right: str) -> Column:
     """Whether sizes and bit sketches of two sets, in columns with these prefixes, allow a link."""
     n, m = F.col(f"{left}n"), F.col(f"{right}n")
-    apart = reduce(lambda a, b: a + b, [F.bit_count(F.col(f"{left}s{i}").bitwiseXOR(F.col(f"{right}s{i}"))) for i in range(BITS64)])
-    return (F.least(n, m) * 100 >= F.greatest(n, m) * PERCENT) & (apart * (100 + PERCENT) <= (n + m) * (100 - PERCENT))
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * PERCENT) & (bits_apart(left, right) * (100 + PERCENT) <= (n + m) * (100 - PERCENT))
 
 
 def bands(n: int) -> Iterator[tuple[int, int]]:
@@ -322,9 +328,9 @@ def _verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             for x, y, s, t in zip(a, b, ta, tb, strict=True):
                 if len(known) > 64:
                     known.clear()
-                if s not in known:
-                    known[s] = shingle_hashes(s)
-                u, v = known[s], shingle_hashes(t)
+                if t not in known:  # the rows come sorted by b
+                    known[t] = shingle_hashes(t)
+                u, v = shingle_hashes(s), known[t]
                 common = len(np.intersect1d(u, v, assume_unique=True))
                 if common and 100 * common >= PERCENT * (len(u) + len(v) - common):
                     out["a"].append(x)
@@ -334,6 +340,27 @@ def _verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return map_arrow(both.select("a", "b", "ta", "tb"), run, "a long, b long").distinct()
 
 
+def _merged(labels: DataFrame, pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Labels (node, label) after every link among pairs (a, b, apart), the latter checkpointed.
+
+    Every document is first compared with the candidate that differs least from it,
+    which is at most one pair a document. Pairs whose ends are then in one class would
+    change nothing; all others are compared too.
+    """
+    chosen = pairs.groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a")).select("a", "b")
+    chosen = checkpointed(chosen.union(pairs.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b")).select("a", "b")).distinct())
+    for part in (chosen, None):
+        if part is None:
+            ends = [labels.select(F.col("node").alias(end), F.col("label").alias(f"l{end}")) for end in "ab"]
+            part = pairs.join(chosen, ["a", "b"], "left_anti").join(ends[0], "a", "left").join(ends[1], "b", "left")
+            part = checkpointed(part.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b"))
+        if not part.isEmpty():
+            links = checkpointed(_verify(part, docs))
+            if not links.isEmpty():
+                labels = components(links.union(labels.select("node", "label")))
+    return labels
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label) for the nodes of links (a, b): label is the smallest node that is reachable.
 
@@ -390,12 +417,11 @@ def similar_classes(docs: DataFrame) -> DataFrame:
 
     def allowed(pairs: DataFrame) -> DataFrame:
         both = pairs.join(sketched("a", "x_"), "a").join(sketched("b", "y_"), "b")
-        return both.where(can_link("x_", "y_")).select("a", "b").distinct()
+        return both.where(can_link("x_", "y_")).select("a", "b", bits_apart("x_", "y_").alias("apart")).distinct()
 
     ends = found.where("sig is null").select("a", "b").distinct().join(rep_a, "a").join(rep_b, "b").where("ra <> rb")
     pairs = checkpointed(allowed(ends.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()))
-    links = checkpointed(_verify(pairs, docs))
-    labels = components(links.union(same))
+    labels = _merged(components(same), pairs, docs)
 
     # Members of large groups that are still apart, beside the pairs already judged.
     large = found.where("sig is not null").select("sig", "a").distinct().join(rep_a, "a").select("sig", F.col("ra").alias("node")).distinct()
@@ -406,10 +432,10 @@ def similar_classes(docs: DataFrame) -> DataFrame:
         one = large.select("sig", F.col("node").alias("a"), F.col("label").alias("la")).join(sketched("a", "x_"), "a")
         two = large.select("sig", F.col("node").alias("b"), F.col("label").alias("lb")).join(sketched("b", "y_"), "b")
         apart = one.join(two, (one.sig == two.sig) & (F.col("la") < F.col("lb")) & can_link("x_", "y_"))
-        more = apart.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        more = apart.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), bits_apart("x_", "y_").alias("apart")).distinct()
         more = checkpointed(more.join(pairs, ["a", "b"], "left_anti"))
         if not more.isEmpty():
-            labels = components(links.union(_verify(more, docs)).union(same))
+            labels = _merged(labels, more, docs)
     info = info.select("doc_id", "n")
     named = labels.select(F.col("node").alias("doc_id"), "label")
     return info.join(named, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "doc_id").alias("component_id"))
