@@ -313,12 +313,13 @@ def _candidates(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
     return map_arrow(dealt, meet, "sig long, a long, b long")
 
 
-def _verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts link, by the 64-bit hashes of all their shingles."""
+def _verify(pairs: DataFrame, docs: DataFrame, repeated: bool) -> DataFrame:
+    """The pairs (a, b) whose texts link, by the 64-bit hashes of all their shingles; repeated: some doc_id has several rows."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     texts = docs.join(F.broadcast(ids) if few else ids, docs.doc_id == ids.id).select("id", "text")
-    texts = texts.groupBy("id", F.xxhash64("text").alias("_t")).agg(F.first("text").alias("text")).drop("_t")
+    if repeated:
+        texts = texts.groupBy("id", F.xxhash64("text").alias("_t")).agg(F.first("text").alias("text")).drop("_t")
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
 
     def run(batches) -> Iterator[dict]:
@@ -340,7 +341,7 @@ def _verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return map_arrow(both.select("a", "b", "ta", "tb"), run, "a long, b long").distinct()
 
 
-def _merged(labels: DataFrame, pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def _merged(labels: DataFrame, pairs: DataFrame, docs: DataFrame, repeated: bool) -> DataFrame:
     """Labels (node, label) after every link among pairs (a, b, apart), the latter checkpointed.
 
     Every document is first compared with the candidate that differs least from it,
@@ -355,7 +356,7 @@ def _merged(labels: DataFrame, pairs: DataFrame, docs: DataFrame) -> DataFrame:
             part = pairs.join(chosen, ["a", "b"], "left_anti").join(ends[0], "a", "left").join(ends[1], "b", "left")
             part = checkpointed(part.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b"))
         if not part.isEmpty():
-            links = checkpointed(_verify(part, docs))
+            links = checkpointed(_verify(part, docs, repeated))
             if not links.isEmpty():
                 labels = components(links.union(labels.select("node", "label")))
     return labels
@@ -421,7 +422,8 @@ def similar_classes(docs: DataFrame) -> DataFrame:
 
     ends = found.where("sig is null").select("a", "b").distinct().join(rep_a, "a").join(rep_b, "b").where("ra <> rb")
     pairs = checkpointed(allowed(ends.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()))
-    labels = _merged(components(same), pairs, docs)
+    repeated = not info.groupBy("doc_id").count().where("doc_id is not null and count > 1").isEmpty()
+    labels = _merged(components(same), pairs, docs, repeated)
 
     # Members of large groups that are still apart, beside the pairs already judged.
     large = found.where("sig is not null").select("sig", "a").distinct().join(rep_a, "a").select("sig", F.col("ra").alias("node")).distinct()
@@ -435,7 +437,7 @@ def similar_classes(docs: DataFrame) -> DataFrame:
         more = apart.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), bits_apart("x_", "y_").alias("apart")).distinct()
         more = checkpointed(more.join(pairs, ["a", "b"], "left_anti"))
         if not more.isEmpty():
-            labels = _merged(labels, more, docs)
+            labels = _merged(labels, more, docs, repeated)
     info = info.select("doc_id", "n")
     named = labels.select(F.col("node").alias("doc_id"), "label")
     return info.join(named, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "doc_id").alias("component_id"))
