@@ -428,7 +428,9 @@ def similar_classes(docs: DataFrame) -> DataFrame:
     # Members of large groups that are still apart, beside the pairs already judged.
     large = found.where("sig is not null").select("sig", "a").distinct().join(rep_a, "a").select("sig", F.col("ra").alias("node")).distinct()
     large = large.join(labels, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("label"))
-    open_ = large.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("sig")
+    open_ = large.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("node").alias("size"), *[F.sum(F.xxhash64(F.lit(k), "node").cast("decimal(38,0)")).alias(f"k{k}") for k in (0, 1)])
+    # Of groups with the same members one is enough.
+    open_ = open_.where("x <> y").groupBy("size", "k0", "k1").agg(F.min("sig").alias("sig")).select("sig")
     large = checkpointed(large.join(open_, "sig"))
     if not large.isEmpty():
         one = large.select("sig", F.col("node").alias("a"), F.col("label").alias("la")).join(sketched("a", "x_"), "a")
