@@ -75,8 +75,8 @@ def shingle_hashes(text: str | None) -> np.ndarray:
     k = min(SHINGLE, len(h))
     n = len(h) - k + 1
     out = np.full(n, k * int(MIX[5]) & 2**64 - 1, np.uint64)
-    for i in range(k):
-        out += mix(h[i : i + n] * MIX[i])
+    for i in range(k):  # words' hashes are random already, and each place has its own factor
+        out += h[i : i + n] * MIX[i]
     return np.unique(mix(out))
 
 
