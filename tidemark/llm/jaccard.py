@@ -43,8 +43,8 @@ SHINGLE, PERCENT = 5, 75
 SMALL, HOT, OFTEN = 8, 1 << 17, 8
 #: Numbers of 64 bits in the bit sketch of a whole set.
 BITS64 = 16
-#: Entries that a map task sorts together, and words whose hashes a worker remembers.
-FLUSH, HELD = 1 << 20, 1 << 19
+#: Entries that a map task sorts together, and words and sets that a worker remembers.
+FLUSH, HELD = 1 << 20, 1 << 17
 #: Document ids that are broadcast at most (8 bytes each); beyond it they are joined by a shuffle.
 BROADCAST_IDS = 1 << 20
 #: Odd multipliers (fixed values).
@@ -186,7 +186,7 @@ def _describe(docs: DataFrame) -> DataFrame:
                 info.append((key, len(h), int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), bit_sketch(h)))
                 kept.append(h)
                 waiting += len(h)
-                if waiting > 4 * FLUSH:
+                if waiting > 2 * FLUSH:
                     yield rows([], *often())
                     kept, waiting = [], 0
             yield rows(info, np.empty(0, np.uint64), np.empty(0, np.int64))
