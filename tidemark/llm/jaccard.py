@@ -301,7 +301,13 @@ def _candidates(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
         # A group that was large for a task is large here whatever has come of it.
         s2, d2 = joined(2, np.uint64)
         rest = np.isin(sig, s2) & ~large
-        big, big_doc = np.concatenate([s2, sig[large | rest]]), np.concatenate([d2, doc[large | rest]])
+        big, big_doc, first, size = _groups(np.concatenate([s2, sig[large | rest]]), np.concatenate([d2, doc[large | rest]]))
+        if len(first):  # of groups with the same members one is enough
+            members = [np.add.reduceat(mix(big_doc.view(np.uint64) * MIX[i]), first) for i in (0, 2)]
+            _, one = np.unique(np.stack([size.astype(np.uint64), *members], 1), axis=0, return_index=True)
+            kept = np.zeros(len(first), bool)
+            kept[one] = True
+            big, big_doc = big[np.repeat(kept, size)], big_doc[np.repeat(kept, size)]
         step = 1 << 16
         for lo in range(0, len(a), step):
             yield {"sig": [None] * len(a[lo : lo + step]), "a": a[lo : lo + step], "b": b[lo : lo + step]}
