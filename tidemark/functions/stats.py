@@ -160,10 +160,11 @@ def chi_square(cells: DataFrame, part: list[str] = PART) -> DataFrame:
 def fdr_bh(df: DataFrame, p: str, keys: list[str], tie: list[str]) -> DataFrame:
     """Adds p_adj by Benjamini and Hochberg within each family; nulls stay null and do not count."""
     known = df.where(F.col(p).isNotNull())
-    order = Window.partitionBy(*keys).orderBy(p, *tie)
-    all_ = Window.partitionBy(*keys)
-    ranked = known.withColumn("_raw", F.col(p) * F.count(F.lit(1)).over(all_) / F.row_number().over(order))
-    adjusted = ranked.withColumn("p_adj", F.least(F.lit(1.0), F.min("_raw").over(order.rowsBetween(0, Window.unboundedFollowing)))).drop("_raw")
+    # Largest first: a frame that ends at the current row grows by one row, one that starts there is read anew for each.
+    order = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in (p, *tie)])
+    m = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    ranked = known.withColumn("_raw", F.col(p) * m / (m - F.row_number().over(order) + 1))
+    adjusted = ranked.withColumn("p_adj", F.least(F.lit(1.0), F.min("_raw").over(order.rowsBetween(Window.unboundedPreceding, 0)))).drop("_raw")
     return adjusted.unionByName(df.where(F.col(p).isNull()).withColumn("p_adj", F.lit(None).cast("double")))
 
 
