@@ -32,6 +32,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +48,8 @@ BITS64 = 16
 FLUSH, HELD = 1 << 20, 1 << 19
 #: Document ids that are broadcast at most (8 bytes each); beyond it they are joined by a shuffle.
 BROADCAST_IDS = 1 << 20
+#: Documents of a block when all links are verified, about.
+BLOCK = 1 << 12
 #: Odd multipliers (fixed values).
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
@@ -392,23 +395,27 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
+def _searched(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What _describe says of each row, and what _candidates finds."""
+    described = checkpointed(_describe(docs))
+    # HOT shingles at most.
+    often = described.where("shingle is not null").groupBy("shingle").agg(F.sum("n").alias("c")).orderBy(F.desc("c"), "shingle").limit(HOT).select("shingle").toPandas()["shingle"].to_numpy(np.int64)
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = checkpointed(_candidates(docs.where("doc_id is not null"), np.sort(often.view(np.uint64)), buckets))
+    return described.where("shingle is null"), found
+
+
 def similar_classes(docs: DataFrame) -> DataFrame:
     """(doc_id, text) to (doc_id, n_shingles, component_id), one row for each document row.
 
     component_id is the smallest doc_id reachable by links, the document's own
     included. Null and empty texts have no shingles and link with nothing; a null
     doc_id stays alone, with a null component. Rows with one doc_id are one document
-    that links where any of them does. Other columns are not read.
+    that links where any of them does. Other columns are not read. Only as many links
+    are verified as the classes take; linked_classes() verifies and counts them all.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    described = checkpointed(_describe(docs))
-    info = described.where("shingle is null")
-    # HOT shingles at most.
-    often = described.where("shingle is not null").groupBy("shingle").agg(F.sum("n").alias("c")).orderBy(F.desc("c"), "shingle").limit(HOT).select("shingle").toPandas()["shingle"].to_numpy(np.int64)
-    hot = np.sort(often.view(np.uint64))
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = checkpointed(_candidates(docs.where("doc_id is not null"), hot, buckets))
+    info, found = _searched(docs)
 
     # Sets that are equal are one class, known by its smallest document.
     full = info.where("n > 0 and doc_id is not null")
@@ -451,6 +458,120 @@ def similar_classes(docs: DataFrame) -> DataFrame:
     return info.join(named, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "doc_id").alias("component_id"))
 
 
+def _verify_all(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) that link, where each doc_id has one row.
+
+    Pairs are dealt to the cells of a square of blocks of documents, so that a text
+    goes to a cell once and not once for each of its pairs there.
+    """
+    blocks = max(16, pairs.select("a").union(pairs.select("b")).distinct().count() // BLOCK)
+    at = lambda end: F.pmod(F.xxhash64(end), F.lit(blocks))
+    dealt = pairs.select((at("a") * blocks + at("b")).alias("cell"), "a", "b")
+    ids = dealt.select("cell", F.col("a").alias("id")).union(dealt.select("cell", "b")).distinct()
+    texts = ids.join(docs, ids.id == docs.doc_id).select(F.col("cell").alias("place"), "id", "text")
+
+    def run(two: pd.DataFrame, text: pd.DataFrame) -> pd.DataFrame:
+        h = {k: shingle_hashes(t) for k, t in zip(text["id"], text["text"], strict=True)}
+        left, right = [], []
+        for a, others in two.groupby("a")["b"]:
+            b, u = others.to_numpy(), h[a]
+            for lo in range(0, len(b), 1024):
+                part = b[lo : lo + 1024]
+                sets = [h[k] for k in part]
+                sizes = np.array([len(x) for x in sets])
+                v = np.concatenate(sets)
+                same = u[np.minimum(np.searchsorted(u, v), len(u) - 1)] == v
+                common = np.add.reduceat(same.astype(np.int64), np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+                part = part[100 * common >= PERCENT * (len(u) + sizes - common)]
+                left.append(np.full(len(part), a, np.int64))
+                right.append(part)
+        none = [np.empty(0, np.int64)]
+        return pd.DataFrame({"a": np.concatenate(left or none), "b": np.concatenate(right or none)})
+
+    return dealt.groupBy("cell").cogroup(texts.groupBy("place")).applyInPandas(run, "a long, b long")
+
+
+def similar_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All links between different sets of shingles, and the rows with the set that each has.
+
+    The first has (a, b) with a < b, the second (doc_id, n_shingles, rep) with a null
+    rep for rows that link with nothing. Sets go by rep, the smallest doc_id that has
+    them, or by the smallest hash of a row that has them where some doc_id has several
+    rows. Rows with one rep link with each other too.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    repeated = not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
+    key = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text")) if repeated else F.col("doc_id")
+    rows = docs.select("doc_id", key.alias("key"), "text")
+    keyed = rows.select(F.col("key").alias("doc_id"), "text")
+    if repeated:
+        keyed = keyed.where("doc_id is not null").groupBy("doc_id").agg(F.first("text").alias("text"))
+    info, found = _searched(keyed)
+    sketch = [f"s{i}" for i in range(BITS64)]
+    full = info.where("n > 0 and doc_id is not null")
+    sets = checkpointed(full.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in sketch]))
+    member = checkpointed(full.select("doc_id", "n", "h1", "h2").join(sets.select("n", "h1", "h2", "rep"), ["n", "h1", "h2"]).select("doc_id", "rep"))
+    rep = {end: member.select(F.col("doc_id").alias(end), F.col("rep").alias(f"r{end}")) for end in "ab"}
+
+    def sketched(end: str, prefix: str) -> DataFrame:
+        return sets.select(F.col("rep").alias(end), *[F.col(c).alias(f"{prefix}{c}") for c in ("n", *sketch)])
+
+    ends = found.where("sig is null").select("a", "b").distinct().join(rep["a"], "a").join(rep["b"], "b").where("ra <> rb")
+    ends = ends.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
+    pairs = ends.join(sketched("a", "x_"), "a").join(sketched("b", "y_"), "b").where(can_link("x_", "y_")).select("a", "b")
+    # All pairs in large groups; of groups with the same members one is enough.
+    large = checkpointed(found.where("sig is not null").select("sig", "a").distinct().join(rep["a"], "a").select("sig", F.col("ra").alias("node")).distinct())
+    one_each = large.groupBy("sig").agg(F.count("node").alias("size"), *[F.sum(F.xxhash64(F.lit(k), "node").cast("decimal(38,0)")).alias(f"k{k}") for k in (0, 1)])
+    large = large.join(one_each.where("size > 1").groupBy("size", "k0", "k1").agg(F.min("sig").alias("sig")).select("sig"), "sig")
+    one = large.select("sig", F.col("node").alias("a")).join(sketched("a", "x_"), "a")
+    two = large.select("sig", F.col("node").alias("b")).join(sketched("b", "y_"), "b")
+    more = one.join(two, (one.sig == two.sig) & (F.col("a") < F.col("b")) & can_link("x_", "y_")).select("a", "b")
+    pairs = checkpointed(pairs.union(more).distinct())
+    links = checkpointed(_verify_all(pairs, keyed))
+    known = info.select(F.col("doc_id").alias("key"), "n").join(member.select(F.col("doc_id").alias("key"), "rep"), "key", "left")
+    if repeated:  # rows without an id have no key
+        alone = _describe(rows.where("key is null").select(F.col("key").alias("doc_id"), "text")).where("shingle is null").select("doc_id", "n", F.lit(None).cast("long").alias("rep"))
+        named = rows.where("key is not null").select("doc_id", "key").join(known, "key").select("doc_id", "n", "rep")
+        known = named.union(alone)
+    else:
+        known = known.select(F.col("key").alias("doc_id"), "n", "rep")
+    return links, checkpointed(known.withColumnRenamed("n", "n_shingles"))
+
+
+def linked_classes(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) to (doc_id, n_shingles, component_id, n_links), one row for each document row.
+
+    As similar_classes(), but of all links: n_links is the number of other doc_ids
+    that the document links with.
+    """
+    links, rows = similar_links(docs)
+    member = checkpointed(rows.where("rep is not null").select("doc_id", "rep").distinct())
+    held = member.groupBy("doc_id").agg(F.min("rep").alias("one"), F.count("rep").alias("n"))
+    several = held.where("n > 1").select("doc_id", "one")
+    joined = links.union(several.join(member, "doc_id").select("one", "rep").where("one <> rep"))
+    labels = components(joined).select(F.col("node").alias("rep"), "label")
+    classed = member.join(labels, "rep", "left").select("doc_id", F.coalesce("label", "rep").alias("label")).distinct()
+    classed = classed.join(classed.groupBy("label").agg(F.min("doc_id").alias("component_id")), "label").select("doc_id", "component_id")
+
+    # Documents with one set are counted by set, those with several one by one.
+    single = held.where("n = 1").groupBy(F.col("one").alias("to")).agg(F.count(F.lit(1)).alias("n"))
+    of_several = several.select("doc_id").join(member, "doc_id").select(F.col("rep").alias("to"), F.col("doc_id").alias("other"))
+    reps = member.select("rep").distinct()
+    near = links.select(F.col("a").alias("rep"), F.col("b").alias("to")).union(links.select("b", "a")).union(reps.select("rep", F.col("rep").alias("to")))
+
+    def counted(reached: DataFrame, by: str) -> DataFrame:
+        """For each `by` the documents that have one of the sets it reaches, itself among them."""
+        ones = reached.join(single, "to").groupBy(by).agg(F.sum("n").alias("x"))
+        others = reached.join(of_several, "to").groupBy(by).agg(F.count_distinct("other").alias("y"))
+        return ones.join(others, by, "full").select(by, (F.coalesce("x", F.lit(0)) + F.coalesce("y", F.lit(0)) - 1).alias("n_links"))
+
+    by_set = counted(near, "rep")
+    by_doc = counted(of_several.select(F.col("other").alias("doc_id"), F.col("to").alias("rep")).join(near, "rep").select("doc_id", "to").distinct(), "doc_id")
+    counts = held.where("n = 1").join(by_set, held.one == by_set.rep).select("doc_id", "n_links").union(by_doc)
+    out = rows.select("doc_id", "n_shingles").join(classed, "doc_id", "left").join(counts, "doc_id", "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def op7_jaccard_classes(spark, sf_dir: str) -> DataFrame:
-    """The class of every document under links of 0.75 or more."""
-    return similar_classes(table(spark, sf_dir, "documents"))
+    """The class of every document under links of 0.75 or more, and the number of its links."""
+    return linked_classes(table(spark, sf_dir, "documents"))
