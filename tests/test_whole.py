@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import random
+from datetime import datetime, timedelta
 
 import pytest
 
 from tests.llm.test_text import brute_classes, near, table, words
 from tidemark.llm import jaccard
 from tidemark.llm.common import TOKENS, split
+from tidemark.operators import ml, rules
+from tidemark.operators.sequence import with_bar_idx
 from tidemark.plans import catalog
 
 
@@ -61,3 +64,24 @@ def test_jaccard_links(spark, repeats):
     assert {r.doc_id: r.n_links for r in got} == brute_links(docs)
     assert {r.doc_id: r.component_id for r in got if r.doc_id is not None} == brute_classes(docs)
     assert max(r.n_links for r in got) > jaccard.SMALL
+
+
+def test_models_see_all_features(monkeypatch):
+    seen = {}
+    monkeypatch.setattr(catalog, "matrix", lambda spark, sf: type("Matrix", (), {"select": lambda self, *cols: cols})())
+    monkeypatch.setattr(catalog, "splits", lambda rows: (rows, rows, rows))
+    monkeypatch.setattr(ml, "train", lambda rows, cols, **k: seen.update(cols=cols, **k))
+    monkeypatch.setattr(ml, "permutation_importance", lambda model, held, cols, tried, **k: seen.update(tried=tried, **k))
+    catalog.QUERIES["permutation_importance"](None, "")
+    assert seen == {"cols": ml.feature_columns(), "trees": 200, "tried": ml.feature_columns(), "repeats": 10}
+
+
+def test_importance_of_all_repeats(spark):
+    rng = random.Random(1)
+    rows = [(f"s{k % 2}", k, rng.random(), rng.random()) for k in range(200)]
+    df = spark.createDataFrame([(s, datetime(2024, 1, 1) + timedelta(hours=k), a, b, int(a > 0.5)) for s, k, a, b in rows], "series_id string, bar_close timestamp, a double, b double, y int")
+    model = ml.train(df, ["a", "b"], trees=2)
+    got = {r.feature: r for r in ml.permutation_importance(model, df, ["a", "b"], ["a", "b"], repeats=3).collect()}
+    base = ml.auc(model, df, ["a", "b"]).first()["auc"]
+    one_by_one = [base - ml.auc(model, rules.shuffled(with_bar_idx(df), "a", 42 + k), ["a", "b"]).first()["auc"] for k in range(3)]
+    assert got["a"].mean_drop == pytest.approx(sum(one_by_one) / 3) and got["a"].sd_drop > 0 and got["b"].mean_drop == 0

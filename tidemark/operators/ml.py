@@ -43,8 +43,8 @@ def predict(model: PipelineModel, matrix: DataFrame, cols: list[str]) -> DataFra
     return model.transform(matrix.fillna(-1e9, subset=cols)).withColumn("p", vector_to_array("probability")[1])
 
 
-def auc(model: PipelineModel, matrix: DataFrame, cols: list[str]) -> DataFrame:
-    return roc_auc(predict(model, matrix, cols), "y", "p", [])
+def auc(model: PipelineModel, matrix: DataFrame, cols: list[str], keys: list[str] | None = None) -> DataFrame:
+    return roc_auc(predict(model, matrix, cols), "y", "p", keys or [])
 
 
 def permutation_importance(model: PipelineModel, matrix: DataFrame, cols: list[str], tried: list[str], repeats: int = 2, seed: int = 42) -> DataFrame:
@@ -54,10 +54,11 @@ def permutation_importance(model: PipelineModel, matrix: DataFrame, cols: list[s
 
     rows = with_bar_idx(matrix).drop("y_").persist()
     base = auc(model, rows, cols).first()["auc"]
+    again = rows.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     drops = []
-    for c in tried:  # one job a feature and repeat, as the model is scored anew each time
-        for k in range(repeats):
-            drops.append((c, base - auc(model, shuffled(rows, c, seed + k), cols).first()["auc"]))
+    for c in tried:  # one job a feature, for all its repeats
+        dealt = shuffled(again, c, F.col("repeat") + seed, [*PART, "repeat"])
+        drops += [(c, base - r["auc"]) for r in auc(model, dealt, cols, ["repeat"]).collect()]
     rows.unpersist()
     made = matrix.sparkSession.createDataFrame(drops, "feature string, drop double")
     return made.groupBy("feature").agg(F.avg("drop").alias("mean_drop"), F.stddev_pop("drop").alias("sd_drop"))

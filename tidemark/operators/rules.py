@@ -123,7 +123,7 @@ def time_of_day(df: DataFrame, ret: str = "ret_fwd_12", bar: str = "bar_in_sessi
     return out.withColumn("excess", F.col("mean_ret") - F.col("baseline"))
 
 
-def shuffled(df: DataFrame, col: str, seed: int = 42, part: list[str] = PART) -> DataFrame:
+def shuffled(df: DataFrame, col: str, seed: int | Column = 42, part: list[str] = PART) -> DataFrame:
     """df with one column permuted inside each series, in an order fixed by the seed."""
     place = Window.partitionBy(*part).orderBy("bar_idx")
     drawn = Window.partitionBy(*part).orderBy(F.xxhash64(F.lit(seed), "bar_idx"), "bar_idx")

@@ -543,13 +543,14 @@ def roc_auc(spark, sf):
     return rounded(S.roc_auc(matrix(spark, sf), "y", "A_hist"))
 
 
-MODEL_COLUMNS = ["bar_in_session", "A_hist", "A_macd", "B_gap", "A_hist_1h", "B_gap_1h", "A_state", "B_state"]
+#: All features; boosting rounds and shuffles of a feature as in the reference.
+MODEL_COLUMNS, TREES, REPEATS = ML.feature_columns(), 200, 10
 
 
 def fitted(spark, sf):
     rows = matrix(spark, sf).select("series_id", "bar_close", "y", *MODEL_COLUMNS)
     inside, held, _ = splits(rows)
-    return ML.train(inside, MODEL_COLUMNS, trees=5), held
+    return ML.train(inside, MODEL_COLUMNS, trees=TREES), held
 
 
 @query
@@ -561,7 +562,7 @@ def gbt_auc(spark, sf):
 @query
 def permutation_importance(spark, sf):
     model, held = fitted(spark, sf)
-    return ML.permutation_importance(model, held, MODEL_COLUMNS, MODEL_COLUMNS[:3], repeats=1)
+    return ML.permutation_importance(model, held, MODEL_COLUMNS, MODEL_COLUMNS, repeats=REPEATS)
 
 
 @query
