@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.tails import chi2_p, normal_p, student_p
 from tidemark.operators.sequence import by
 from tidemark.schema import ORDER, PART, STATES
 
@@ -16,7 +17,7 @@ def unpivot(df: DataFrame, keep: list[str], cols: list[str], name: str, value: s
 
 
 def hac_mean(df: DataFrame, keys: list[str], value: str = "ret", lags: int = 12, order: str = ORDER, least_mean: int = 0, least_t: int = 20) -> DataFrame:
-    """Mean, hit rate and autocorrelation-robust t of the mean by key, one row for every key that occurs.
+    """Mean, hit rate, and autocorrelation-robust t of the mean with its normal p-value, by key, one row for every key that occurs.
 
     n_rows counts all rows and n those with a value; lags run over rows with a value
     only. The variance is Bartlett-weighted with the factor n / (n - 1). Below
@@ -40,7 +41,7 @@ def hac_mean(df: DataFrame, keys: list[str], value: str = "ret", lags: int = 12,
     t = F.try_divide("mean_ret", F.sqrt(F.try_divide("_s", F.col("n") * (F.col("n") - 1))))
     return out.select(
         *keys, "n_rows", "n", F.when(shown, F.col("mean_ret")).alias("mean_ret"), F.when(shown, F.col("hit_rate")).alias("hit_rate"), F.when((F.col("n") >= least_t) & (F.col("_s") > 0), t).alias("t_stat")
-    )
+    ).withColumn("p_value", normal_p("t_stat"))
 
 
 def pearson(x: Column, y: Column) -> Column:
@@ -101,7 +102,7 @@ def deciles(df: DataFrame, feature: str, horizons: list[str], part: list[str] =
 
 
 def nested_ols(df: DataFrame, y: str, a: str, b: str, lags: int = 12, part: list[str] = PART, order: str = ORDER, least: int = 30) -> DataFrame:
-    """What b adds to a in explaining y: R2 of both regressions, their difference, b's coefficient and robust t.
+    """What b adds to a in explaining y: R2 of both regressions, their difference, b's coefficient, robust t and normal p-value.
 
     Closed-form normal equations on centred values, then one pass over residual
     scores and their lags for the sandwich, with the factor n / (n - 3).
@@ -127,11 +128,11 @@ def nested_ols(df: DataFrame, y: str, a: str, b: str, lags: int = 12, part: list
     r0 = F.try_divide(F.col("s_ay") * F.col("s_ay"), F.col("s_aa") * F.col("s_yy"))
     r1 = 1 - F.try_divide("_ssr", "s_yy")
     t = F.try_divide("coef_b", F.sqrt(F.col("_v") * F.col("n") / (F.col("n") - 3)))
-    return out.select(*part, *[F.when(enough, v).alias(k) for k, v in {"n_obs": F.col("n"), "r2_a": r0, "r2_ab": r1, "delta_r2": r1 - r0, "coef_b": F.col("coef_b"), "t_b": t}.items()])
+    return out.select(*part, *[F.when(enough, v).alias(k) for k, v in {"n_obs": F.col("n"), "r2_a": r0, "r2_ab": r1, "delta_r2": r1 - r0, "coef_b": F.col("coef_b"), "t_b": t}.items()]).withColumn("p_b", normal_p("t_b"))
 
 
 def joint_states(df: DataFrame, a: str, b: str, ret: str, lags: int = 12, part: list[str] = PART, order: str = ORDER) -> DataFrame:
-    """All sixteen cells of two states with row counts, mean, hit rate and t; below five rows the statistics are null."""
+    """All sixteen cells of two states with row counts, mean, hit rate, t and p-value; below five rows the statistics are null."""
     spark = df.sparkSession
     rows = df.where(F.col(a).isin(*STATES) & F.col(b).isin(*STATES)).select(*part, order, F.col(a).alias("state_a"), F.col(b).alias("state_b"), F.col(ret).alias("ret"))
     cells = hac_mean(rows, [*part, "state_a", "state_b"], "ret", lags, order)
@@ -140,11 +141,11 @@ def joint_states(df: DataFrame, a: str, b: str, ret: str, lags: int = 12, part:
     dense = df.select(*part).distinct().join(F.broadcast(grid))
     out = dense.join(cells, [*part, "state_a", "state_b"], "left")
     n = F.coalesce("n_rows", F.lit(0))
-    return out.select(*part, "state_a", "state_b", n.alias("n"), *[F.when(n >= 5, F.col(c)).alias(c) for c in ("mean_ret", "hit_rate", "t_stat")])
+    return out.select(*part, "state_a", "state_b", n.alias("n"), *[F.when(n >= 5, F.col(c)).alias(c) for c in ("mean_ret", "hit_rate", "t_stat", "p_value")])
 
 
 def chi_square(cells: DataFrame, part: list[str] = PART) -> DataFrame:
-    """Independence of the two states: chi2, degrees of freedom, and mean returns on and off the diagonal."""
+    """Independence of the two states: chi2, degrees of freedom, p-value, cells with p below 0.05, and mean returns on and off the diagonal."""
     row, col, all_ = Window.partitionBy(*part, "state_a"), Window.partitionBy(*part, "state_b"), Window.partitionBy(*part)
     expected = F.try_divide(F.sum("n").over(row).cast("double") * F.sum("n").over(col), F.sum("n").over(all_))
     rows = cells.withColumn("_x", expected)
@@ -154,7 +155,8 @@ def chi_square(cells: DataFrame, part: list[str] = PART) -> DataFrame:
         F.lit((len(STATES) - 1) ** 2).alias("dof"),
         F.avg(F.when(same, F.col("mean_ret"))).alias("diag_mean"),
         F.avg(F.when(~same, F.col("mean_ret"))).alias("off_diag_mean"),
-    )
+        F.count_if(F.col("p_value") < 0.05).alias("n_significant"),
+    ).withColumn("p_chi2", chi2_p("chi2", F.col("dof").cast("double")))
 
 
 def fdr_bh(df: DataFrame, p: str, keys: list[str], tie: list[str]) -> DataFrame:
@@ -169,7 +171,7 @@ def fdr_bh(df: DataFrame, p: str, keys: list[str], tie: list[str]) -> DataFrame:
 
 
 def bonferroni(p: Column, m: int) -> Column:
-    return F.least(F.lit(1.0), p * m)
+    return F.when(p.isNotNull(), F.least(F.lit(1.0), p * m))
 
 
 def roc_auc(df: DataFrame, label: str, score: str, keys: list[str] = PART) -> DataFrame:
@@ -181,7 +183,7 @@ def roc_auc(df: DataFrame, label: str, score: str, keys: list[str] = PART) -> Da
 
 
 def mean_difference(df: DataFrame, side: str, cols: list[str], keys: list[str] = PART) -> DataFrame:
-    """For each feature the pooled effect size and Welch's t between rows with side true and false."""
+    """For each feature the pooled effect size and Welch's t with its p-value between rows with side true and false."""
     frame = df.where(F.col(side).isNotNull())
     sizes = frame.groupBy(*keys).agg(F.count_if(side).alias("n_worked"), F.count_if(~F.col(side)).alias("n_failed"))
     long = unpivot(frame.select(*keys, side, *[F.col(c).cast("double").alias(c) for c in cols]), [*keys, side], cols, "feature", "x").where("x is not null")
@@ -190,4 +192,6 @@ def mean_difference(df: DataFrame, side: str, cols: list[str], keys: list[str] =
     diff = F.col("mean_worked") - F.col("mean_failed")
     pooled = F.sqrt(F.try_divide((F.col("a") - 1) * F.col("va") + (F.col("b") - 1) * F.col("vb"), F.col("a") + F.col("b") - 2))
     welch = F.sqrt(F.try_divide("va", "a") + F.try_divide("vb", "b"))
-    return m.join(sizes, keys).select(*keys, "feature", "n_worked", "n_failed", "mean_worked", "mean_failed", F.try_divide(diff, pooled).alias("cohens_d"), F.try_divide(diff, welch).alias("t_stat"))
+    va, vb = F.try_divide("va", "a"), F.try_divide("vb", "b")
+    dof = F.try_divide((va + vb) * (va + vb), F.try_divide(va * va, F.col("a") - 1) + F.try_divide(vb * vb, F.col("b") - 1))
+    return m.withColumn("_dof", dof).join(sizes, keys).select(*keys, "feature", "n_worked", "n_failed", "mean_worked", "mean_failed", F.try_divide(diff, pooled).alias("cohens_d"), F.try_divide(diff, welch).alias("t_stat"), student_p(F.try_divide(diff, welch), F.col("_dof")).alias("p_value"))

@@ -56,7 +56,7 @@ def stratify(df: DataFrame, setup: Column, state: str, htf_close: str, horizons:
     # A handful of rows for each series.
     dense = picked.select(*part).distinct().join(F.broadcast(grid)).join(counts, [*part, "group"], "left").join(stats, [*part, "group", "horizon"], "left")
     n = F.coalesce("n_5m", F.lit(0))
-    return dense.select(*part, "group", "horizon", n.alias("n_5m"), F.coalesce("n_htf", F.lit(0)).alias("n_htf"), *[F.when(n >= 5, F.col(c)).alias(c) for c in ("mean_ret", "hit_rate", "t_stat")])
+    return dense.select(*part, "group", "horizon", n.alias("n_5m"), F.coalesce("n_htf", F.lit(0)).alias("n_htf"), *[F.when(n >= 5, F.col(c)).alias(c) for c in ("mean_ret", "hit_rate", "t_stat", "p_value")])
 
 
 def asymmetry(bull: DataFrame, bear: DataFrame, part: list[str] = PART) -> DataFrame:

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.stats import hac_mean
+from tidemark.functions.stats import bonferroni, hac_mean
 from tidemark.operators.mtf import truth
 from tidemark.schema import FLAGS, ORDER, PART, flag_column
 
@@ -35,7 +35,7 @@ def active_flags() -> Column:
 
 
 def evaluate(df: DataFrame, ret: str = "ret_fwd_12", lags: int = 12, keys: list[str] | None = None, part: list[str] = PART, order: str = ORDER) -> DataFrame:
-    """Every rule, also those that no row holds for: n, frequency, mean, hit rate and t.
+    """Every rule, also those that no row holds for: n, frequency, mean, hit rate, t, p-value and that times the rules.
 
     keys: further columns to evaluate by. frequency is n over the rows of the group.
     """
@@ -46,7 +46,7 @@ def evaluate(df: DataFrame, ret: str = "ret_fwd_12", lags: int = 12, keys: list[
     # 256 rows for each group.
     dense = totals.join(F.broadcast(enumerate_rules(df.sparkSession).select("rule_id"))).join(stats, [*by, "rule_id"], "left")
     n = F.coalesce("n", F.lit(0))
-    return dense.select(*by, "rule_id", n.alias("n"), (n / F.col("_all")).alias("frequency"), "mean_ret", "hit_rate", "t_stat")
+    return dense.select(*by, "rule_id", n.alias("n"), (n / F.col("_all")).alias("frequency"), "mean_ret", "hit_rate", "t_stat", "p_value", bonferroni(F.col("p_value"), RULES).alias("p_bonf"))
 
 
 def rank(rules: DataFrame, top: int = 20, part: list[str] = PART) -> DataFrame:

@@ -39,8 +39,19 @@ def query(f):
     return f
 
 
+#: p-values, which SQL lacks.
+P_VALUES = ["p_value", "p_b", "p_chi2", "p_bonf", "n_significant"]
+
+
+def query_p(f):
+    """Registers a table with p-values as name_p, and what SQL can say of it as name."""
+    QUERIES[f"{f.__name__}_p"] = f
+    QUERIES[f.__name__] = lambda spark, sf: f(spark, sf).drop(*P_VALUES)
+    return f
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    kinds = dict(df.dtypes)
+    kinds = {c: None if c in P_VALUES else kind for c, kind in df.dtypes}  # small ones would become 0
     zero = lambda c: F.round(c, digits) + F.lit(0.0)  # noqa: E731  no negative zero
     return df.select(*[zero(F.col(c)).alias(c) if kinds[c] == "double" else F.col(c) for c in df.columns])
 
@@ -241,7 +252,7 @@ def state_conditional_returns(spark, sf):
     return rounded(made)
 
 
-@query
+@query_p
 def hac_mean_by_state(spark, sf):
     long = targets(spark, sf).where("A_state is not null").unpivot(["series_id", "A_state", "bar_close"], SHORT, "horizon", "ret")
     return rounded(S.hac_mean(long, ["series_id", "A_state", "horizon"]), 5)
@@ -272,17 +283,17 @@ def cross_correlation_peak(spark, sf):
     return S.peak_lag(S.cross_correlation(targets(spark, sf), "A_hist", "B_gap"))
 
 
-@query
+@query_p
 def nested_ols_hac(spark, sf):
     return rounded(S.nested_ols(targets(spark, sf), RET, "A_hist", "B_gap"), 5)
 
 
-@query
+@query_p
 def joint_state_matrix(spark, sf):
     return rounded(S.joint_states(targets(spark, sf), "A_state", "B_state", RET), 5)
 
 
-@query
+@query_p
 def joint_state_chi2(spark, sf):
     return rounded(S.chi_square(S.joint_states(targets(spark, sf), "A_state", "B_state", RET)), 5)
 
@@ -372,7 +383,7 @@ def squeeze_event_study(spark, sf):
 # Across bar sizes
 
 
-@query
+@query_p
 def stratify_htf_state(spark, sf):
     return rounded(M.stratify(master(spark, sf), F.col("A_state") == "bull_accel", "A_state_1h", "bar_close_1h", SHORT), 5)
 
@@ -408,7 +419,7 @@ def score_distribution(spark, sf):
     return M.with_scores(master(spark, sf)).groupBy("series_id", "score_bull").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query
+@query_p
 def score_bucketed_returns(spark, sf):
     return rounded(M.score_returns(M.with_scores(master(spark, sf)), "score_bull", SHORT), 5)
 
@@ -427,7 +438,7 @@ def rule_enumeration(spark, sf):
     return Q.enumerate_rules(spark)
 
 
-@query
+@query_p
 def rule_evaluation_256(spark, sf):
     return rounded(Q.evaluate(master(spark, sf)), 5)
 
@@ -457,7 +468,7 @@ def differences(spark, sf):
     return S.mean_difference(rows, "worked", ["A_hist", "A_macd", "B_gap", "A_hist_1h", "B_gap_1h"])
 
 
-@query
+@query_p
 def feature_mean_diff(spark, sf):
     return rounded(differences(spark, sf), 5)
 
@@ -468,7 +479,7 @@ def propose_filters(spark, sf):
     return rounded(found.select("series_id", "feature", "cohens_d", "midpoint", "direction"), 5)
 
 
-@query
+@query_p
 def filter_before_after(spark, sf):
     return rounded(Q.before_after(master(spark, sf), F.col("A_state") == "bull_accel", F.col("A_hist_1h") > 0), 5)
 
