@@ -146,6 +146,56 @@ def test_jaccard_classes(spark, hot, monkeypatch):
     assert {r.doc_id: r.n_shingles for r in got}[-50 + 3 * rows.index("a b c d")] == 1
 
 
+def brute_links(rows):
+    sets = {}
+    for i, t in rows:
+        w = split(t, TOKENS)
+        sets.setdefault(i, []).append(set(zip(*(w[k:] for k in range(5)), strict=False)) if len(w) >= 5 else {tuple(w)} if w else set())
+    links = {i: 0 for i in sets}
+    for i in sets:
+        for j in sets:
+            links[i] += i != j and None not in (i, j) and any(a and b and 100 * len(a & b) >= 75 * len(a | b) for a in sets[i] for b in sets[j])
+    return links
+
+
+@pytest.mark.parametrize("repeats", [False, True])
+def test_jaccard_links(spark, repeats, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK_NODES", 1 << 12 if repeats else 20)
+    rng = random.Random(3)
+    base = words(120, 1, 4000)
+    rows = [" ".join(near(base, rng.randrange(0, 7), rng)) for _ in range(60)]
+    for k in range(8):
+        some = words(rng.choice([5, 12, 40]), k + 50, 4000)
+        rows += [" ".join(near(some, rng.randrange(0, 2), rng)) for _ in range(4)]
+    rows += ["", None, "a b", "A B", rows[0], rows[0].upper()]
+    docs = list(enumerate(rows)) + [(None, rows[0])]
+    if repeats:
+        docs += [(3, rows[3]), (4, rows[70]), (5, ""), (70, rows[65]), (None, "")]
+    got = jaccard.linked_classes(table(spark, docs).repartition(3)).collect()
+    assert len(got) == len(docs)
+    assert {r.doc_id: r.n_links for r in got} == brute_links(docs)
+    assert {r.doc_id: r.component_id for r in got if r.doc_id is not None} == brute_classes(docs)
+    assert max(r.n_links for r in got) > jaccard.SMALL
+
+
+def test_common_shingles_of_all_pairs():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    sets = [np.unique(np.concatenate([rng.integers(0, 40, 30), rng.integers(0, 10**6, 20)])).astype(np.uint64) for _ in range(90)]
+    lists = [sets[:50], sets[30:]]
+    u, v = [(np.concatenate(x), np.concatenate([[0], np.cumsum([len(s) for s in x])])) for x in lists]
+    assert jaccard._common(*u, *v).tolist() == [[len(np.intersect1d(a, b)) for b in lists[1]] for a in lists[0]]
+
+
+def test_shingle_sets_of_many_texts():
+    texts = ["", None, "A b  C", "x" * 70 + " y" * 9, "a b c d e f g", "é ü\x0bq w e", "a b c d e f g a b c d e f g"]
+    flat, at = jaccard.shingle_sets(texts)
+    sets = [set(flat[i:j].tolist()) for i, j in zip(at[:-1], at[1:], strict=True)]
+    assert [len(s) for s in sets] == [0, 0, 1, 2, 3, 1, 7] and sets[4] < sets[6]
+    assert [set(jaccard.shingle_hashes(t).tolist()) for t in texts] == sets
+
+
 def test_jaccard_of_nothing(spark):
     assert jaccard.similar_classes(table(spark, [])).count() == 0
     assert [r.component_id for r in jaccard.similar_classes(table(spark, [(4, None), (2, "")])).orderBy("doc_id").collect()] == [2, 4]

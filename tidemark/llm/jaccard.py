@@ -56,7 +56,7 @@ BUCKETS = 1 << 17
 #: Rows (two numbers) that are broadcast at most; beyond it they are joined by a shuffle.
 BROADCAST_ROWS = 1 << 19
 #: Nodes and shingles of a block when links are counted, about.
-BLOCK_NODES, BLOCK_SHINGLES = 1 << 11, 1 << 19
+BLOCK_NODES, BLOCK_SHINGLES = 1 << 12, 1 << 21
 #: Odd multipliers (fixed values).
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 #: The bytes between words.
@@ -536,7 +536,11 @@ def _searched(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFra
     pairs = two.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"))
     members = met.where("sig is not null").select("sig", "a")
     if not members.isEmpty():
-        pairs = pairs.union(_in_large_groups(members.distinct(), nodes)).distinct()
+        members = members.distinct()
+        # Of groups with the same members one is enough.
+        sums = members.groupBy("sig").agg(F.count("a").alias("size"), *[F.sum(F.xxhash64(F.lit(k), "a").cast("decimal(38,0)")).alias(f"k{k}") for k in (0, 1)])
+        one = sums.groupBy("size", "k0", "k1").agg(F.min("sig").alias("sig")).select("sig")
+        pairs = pairs.union(_in_large_groups(members.join(one, "sig"), nodes)).distinct()
     ends = pairs.join(x, F.col("a") == F.col("x_node")).join(y, F.col("b") == F.col("y_node"))
     pairs = checkpointed(ends.select("a", "b", F.col("x_label").alias("la"), F.col("y_label").alias("lb"), bits_apart("x_", "y_").alias("apart")))
     nearest = pairs.groupBy(F.least("la", "lb"), F.greatest("la", "lb")).agg(F.min_by(F.struct("a", "b"), F.struct("apart", "a", "b")).alias("p")).select("p.a", "p.b")
@@ -657,7 +661,7 @@ def _counted(nodes: DataFrame, labels: DataFrame, weights: DataFrame, docs: Data
     size = inside.groupBy("label").agg(F.count(F.lit(1)).alias("g"), F.sum("n").alias("s")).where("g > 1")
     blocks = F.ceil(F.greatest(F.col("g") / BLOCK_NODES, F.col("s") / BLOCK_SHINGLES))
     dealt = inside.join(size.select("label", blocks.alias("blocks")), "label").select("label", "node", "n", "weight", "several", "blocks")
-    texts = docs.select(F.col("doc_id").alias("node"), "text")
+    texts = _narrowed(docs, dealt.select(F.col("node").alias("id"), F.col("node").alias("label"))).withColumnRenamed("label", "node")
     rows = _celled(dealt.join(texts, "node"))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
