@@ -9,9 +9,6 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from tests.llm.test_text import brute_classes, near, table, words
-from tidemark.llm import jaccard
-from tidemark.llm.common import TOKENS, split
 from tidemark.functions import stats as S
 from tidemark.functions.tails import chi2_tail
 from tidemark.operators import ml, rules
@@ -39,37 +36,6 @@ def test_fdr_of_all_orders(spark, tmp_path):
     assert got == pytest.approx(brute_bh(rows), abs=1e-6)
 
 
-def brute_links(rows):
-    sets = {}
-    for i, t in rows:
-        w = split(t, TOKENS)
-        sets.setdefault(i, []).append(set(zip(*(w[k:] for k in range(5)), strict=False)) if len(w) >= 5 else {tuple(w)} if w else set())
-    links = {i: 0 for i in sets}
-    for i in sets:
-        for j in sets:
-            links[i] += i != j and None not in (i, j) and any(a and b and 100 * len(a & b) >= 75 * len(a | b) for a in sets[i] for b in sets[j])
-    return links
-
-
-@pytest.mark.parametrize("repeats", [False, True])
-def test_jaccard_links(spark, repeats):
-    rng = random.Random(3)
-    base = words(120, 1, 4000)
-    rows = [" ".join(near(base, rng.randrange(0, 7), rng)) for _ in range(60)]
-    for k in range(8):
-        some = words(rng.choice([5, 12, 40]), k + 50, 4000)
-        rows += [" ".join(near(some, rng.randrange(0, 2), rng)) for _ in range(4)]
-    rows += ["", None, "a b", "A B", rows[0], rows[0].upper()]
-    docs = list(enumerate(rows)) + [(None, rows[0])]
-    if repeats:
-        docs += [(3, rows[3]), (4, rows[70]), (5, ""), (70, rows[65]), (None, "")]
-    got = jaccard.linked_classes(table(spark, docs).repartition(3)).collect()
-    assert len(got) == len(docs)
-    assert {r.doc_id: r.n_links for r in got} == brute_links(docs)
-    assert {r.doc_id: r.component_id for r in got if r.doc_id is not None} == brute_classes(docs)
-    assert max(r.n_links for r in got) > jaccard.SMALL
-
-
 def test_models_see_all_features(monkeypatch):
     seen = {}
     monkeypatch.setattr(catalog, "matrix", lambda spark, sf: type("Matrix", (), {"select": lambda self, *cols: cols})())
