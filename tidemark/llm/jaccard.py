@@ -6,7 +6,7 @@ A document's sketch deals its shingles over parts by hash and XORs the hashes in
 each part; a shingle that only one of two documents has changes one part at most, so
 the number of parts that differ is a lower bound of the symmetric difference. By the
 pigeonhole principle two documents that link agree in all but D parts. Parts are
-numbered per size band (powers of eight; a document that can link into the next band is
+numbered per size band (powers of four; a document that can link into the next band is
 sketched there too), and since at least (parts - D) agree, it is enough to join the
 first D + 1 parts in a fixed order of all part sketches.
 
@@ -161,6 +161,21 @@ def bit_sketch(h: np.ndarray) -> np.ndarray:
     return bit_sketches(h, np.array([0, len(h)]))[0]
 
 
+def long_sketch(h: np.ndarray) -> bytes | None:
+    """The same in as many bits as a larger set has shingles, rounded up to a power of two."""
+    if len(h) <= 64 * BITS64:
+        return None
+    bits = 1 << (len(h) - 1).bit_length()
+    odd = np.bincount((h >> np.uint64(8)).astype(np.int64) % bits, minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def long_bits_apart(one: bytes, two: bytes) -> int:
+    """The bits in which two long sketches differ, the longer one folded to the other's length."""
+    x, y = sorted((np.frombuffer(b, np.uint64) for b in (one, two)), key=len)
+    return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)).sum())
+
+
 def digests(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Two sums of remixed hashes for each set, as signed numbers."""
     out = np.zeros((len(at) - 1, 2), np.uint64)
@@ -196,13 +211,13 @@ def can_link(left: str, right: str) -> Column:
 
 
 def band_of(n: int) -> int:
-    return (n.bit_length() - 1) // 3
+    return (n.bit_length() - 1) // 2
 
 
 def bands(n: int) -> Iterator[tuple[int, int]]:
     """The size bands in which a document is sketched: their number and the largest partner there."""
     own, most = band_of(n), largest_partner(n)
-    yield own, min(most, 8 ** (own + 1) - 1)
+    yield own, min(most, 4 ** (own + 1) - 1)
     for higher in range(own + 1, band_of(most) + 1):
         yield higher, most
 
@@ -212,10 +227,13 @@ def place_of(band: int, tag: int) -> np.uint64:
 
 
 def part_sketches(h: np.ndarray, band: int, tag: int) -> np.ndarray:
-    """XOR of the sorted hashes in each of the band's 4 * 8 ** band parts, mixed with the part's place; empty parts give none."""
+    """XOR of the sorted hashes in each of the band's parts, mixed with the part's place; empty parts give none.
+
+    There are 1.5 * 4 ** band parts, a few more than the largest sets of the band can differ in.
+    """
     if not len(h):
         return h
-    part = h >> np.uint64(62 - 3 * band)
+    part = (h >> np.uint64(32)) * np.uint64(3 * 4**band + 1 >> 1) >> np.uint64(32)
     first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
     xor = np.bitwise_xor.reduceat(h, first)
     return mix(xor * MIX[0] + part[first] * MIX[1] + place_of(band, tag))
@@ -258,13 +276,14 @@ def _describe(docs: DataFrame) -> DataFrame:
         def often() -> dict:
             seen, n = np.unique(np.concatenate(kept), return_counts=True)
             seen, n = seen[n >= OFTEN], n[n >= OFTEN]
-            return {c: [None] * len(n) for c in numbers} | {"n": n, "shingle": seen.view(np.int64)}
+            return {c: [None] * len(n) for c in [*numbers, "long"]} | {"n": n, "shingle": seen.view(np.int64)}
 
         for ids, texts in batches:
             for keys, some in _portions(ids, texts):
                 h, at = shingle_sets(some)
                 two, bits = digests(h, at), bit_sketches(h, at)
                 made = {"doc_id": keys, "n": np.diff(at), "h1": two[:, 0], "h2": two[:, 1], "shingle": [None] * len(keys)}
+                made["long"] = [long_sketch(h[i:j]) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 yield made | {s: bits[:, i] for i, s in enumerate(SKETCH)} | dict(zip(KEYS, minima(h, at), strict=True))
                 kept.append(h)
                 waiting += len(h)
@@ -274,7 +293,7 @@ def _describe(docs: DataFrame) -> DataFrame:
         if waiting:
             yield often()
 
-    return map_arrow(docs, run, ", ".join(f"{c} long" for c in [*numbers, "shingle"]))
+    return map_arrow(docs, run, ", ".join(f"{c} long" for c in [*numbers, "shingle"]) + ", long binary")
 
 
 def _hot(described: DataFrame) -> np.ndarray:
@@ -466,14 +485,28 @@ def _named(nodes: DataFrame, labels: DataFrame | None) -> DataFrame:
     return nodes.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
-def _clusters(nodes: DataFrame, docs: DataFrame) -> DataFrame | None:
+def _allowed(pairs: DataFrame, large: DataFrame) -> DataFrame:
+    """The pairs (a, b, ...) that the long sketches (node, long) of their ends allow, where both have one."""
+    one, two = [large.select(F.col("node").alias(end), F.col("long").alias(f"long_{end}")) for end in "ab"]
+    both = pairs.join(one, "a").join(two, "b")
+
+    def run(batches) -> Iterator[dict]:
+        for a, b, sizes, x, y in batches:
+            far = [long_bits_apart(u, v) * (100 + PERCENT) > n * (100 - PERCENT) for n, u, v in zip(sizes, x, y, strict=True)]
+            yield {"a": [i for i, no in zip(a, far, strict=True) if no], "b": [i for i, no in zip(b, far, strict=True) if no]}
+
+    return pairs.join(map_arrow(both.select("a", "b", "both", "long_a", "long_b"), run, "a long, b long"), ["a", "b"], "left_anti")
+
+
+def _clusters(nodes: DataFrame, large: DataFrame, docs: DataFrame) -> DataFrame | None:
     """Labels (node, label) after comparing each node with the nearest of those that share minima with it."""
     keyed = nodes.select("node", F.explode(F.array(*KEYS)).alias("key")).where("key is not null")
     hub = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
     near = keyed.join(hub, "key").where("node <> hub").select("node", "hub").distinct()
     two = near.join(_prefixed(nodes, "x_"), F.col("node") == F.col("x_node")).join(_prefixed(nodes, "y_"), F.col("hub") == F.col("y_node")).where(can_link("x_", "y_"))
-    best = two.groupBy("node").agg(F.min_by("hub", F.struct(bits_apart("x_", "y_"), "hub")).alias("hub"))
-    links = checkpointed(_verify(best.select(F.col("node").alias("a"), F.col("hub").alias("b")), docs))
+    two = _allowed(two.select(F.col("node").alias("a"), F.col("hub").alias("b"), bits_apart("x_", "y_").alias("apart"), (F.col("x_n") + F.col("y_n")).alias("both")), large)
+    best = two.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b"))
+    links = checkpointed(_verify(best, docs))
     return None if links.isEmpty() else checkpointed(components(links))
 
 
@@ -521,11 +554,12 @@ def _searched(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFra
     hot = _hot(described)
     info = described.where("shingle is null")
     full = info.where("n > 0 and doc_id is not null")
-    nodes = checkpointed(full.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in (*SKETCH, *KEYS)]))
+    nodes = checkpointed(full.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in (*SKETCH, *KEYS, "long")]))
+    large = nodes.where("long is not null").select("node", "long")
     member = checkpointed(full.select("doc_id", "n", "h1", "h2").join(nodes.select("n", "h1", "h2", "node"), ["n", "h1", "h2"]).select("doc_id", "n", "node"))
     docs = docs.where("doc_id is not null")
 
-    labels = _clusters(nodes, docs)
+    labels = _clusters(nodes, large, docs)
     nodes = checkpointed(_named(nodes.select("node", "n", *SKETCH), labels))
     shingles = nodes.agg(F.sum("n")).first()[0] or 0
     met = checkpointed(_met(_narrowed(docs, nodes.select(F.col("node").alias("id"), "label")), hot, shingles))
@@ -542,7 +576,8 @@ def _searched(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFra
         one = sums.groupBy("size", "k0", "k1").agg(F.min("sig").alias("sig")).select("sig")
         pairs = pairs.union(_in_large_groups(members.join(one, "sig"), nodes)).distinct()
     ends = pairs.join(x, F.col("a") == F.col("x_node")).join(y, F.col("b") == F.col("y_node"))
-    pairs = checkpointed(ends.select("a", "b", F.col("x_label").alias("la"), F.col("y_label").alias("lb"), bits_apart("x_", "y_").alias("apart")))
+    ends = checkpointed(ends.select("a", "b", F.col("x_label").alias("la"), F.col("y_label").alias("lb"), bits_apart("x_", "y_").alias("apart"), (F.col("x_n") + F.col("y_n")).alias("both")))
+    pairs = checkpointed(_allowed(ends, large))
     nearest = pairs.groupBy(F.least("la", "lb"), F.greatest("la", "lb")).agg(F.min_by(F.struct("a", "b"), F.struct("apart", "a", "b")).alias("p")).select("p.a", "p.b")
     for part in (nearest, None):
         if part is None:  # all other pairs that are still apart
