@@ -20,7 +20,8 @@ with too few parts for the guarantee also gives its first D + 1 shingles singly.
    clusters; this finds no more than the join would, it only saves the join work.
 3. Nodes sign with the name of their cluster, so that a group of near copies meets
    itself once and not in all pairs. Clusters that share a part sketch are candidates.
-4. Of two such clusters the nodes whose sizes or bit sketches do not already exceed the
+4. Clusters that sizes and bit sketches (of one node each, less the distances of the
+   others from it) keep apart are not. Of two others the nodes whose sizes or bit sketches do not already exceed the
    bound are compared by all shingles: first the nearest pair, then, if the clusters are
    still apart, every other one. Hence no class is missed.
 5. All links lie inside classes. To count them, a class is cut into blocks of bounded
@@ -56,7 +57,7 @@ BUCKETS = 1 << 17
 #: Rows (two numbers) that are broadcast at most; beyond it they are joined by a shuffle.
 BROADCAST_ROWS = 1 << 19
 #: Nodes and shingles of a block when links are counted, about.
-BLOCK_NODES, BLOCK_SHINGLES = 1 << 12, 1 << 21
+BLOCK_NODES, BLOCK_SHINGLES = 1 << 11, 1 << 20
 #: Odd multipliers (fixed values).
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 #: The bytes between words.
@@ -510,29 +511,36 @@ def _clusters(nodes: DataFrame, large: DataFrame, docs: DataFrame) -> DataFrame
     return None if links.isEmpty() else checkpointed(components(links))
 
 
-def _in_large_groups(members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes in one of the groups (sig, a) whose sizes and sketches allow a link, between different labels.
+def _balls(nodes: DataFrame) -> DataFrame:
+    """One row a cluster: its least and largest sizes, its first node's sketch, and the largest distance of a sketch from that."""
+    x, y = _prefixed(nodes, "x_"), _prefixed(nodes.where("node = label"), "y_")
+    both = x.join(y, F.col("x_label") == F.col("y_label"))
+    sizes = [F.min("x_n").alias("lo"), F.max("x_n").alias("hi"), F.max(bits_apart("x_", "y_")).alias("r")]
+    return both.groupBy(F.col("x_label").alias("label")).agg(*sizes, *[F.first(f"y_{s}").alias(s) for s in SKETCH])
 
-    A group is cut into blocks of nodes, of which each cell compares two.
+
+def _in_large_groups(members: DataFrame, balls: DataFrame) -> DataFrame:
+    """Pairs (a, b) of clusters in one of the groups (sig, a) whose sizes and sketches allow a link between nodes of theirs.
+
+    A group is cut into blocks of clusters, of which each cell compares two.
     """
-    inside = members.join(nodes, members.a == nodes.label).select("sig", "node", "label", "n", F.array(*SKETCH).alias("bits"))
+    inside = members.join(balls, members.a == balls.label).select("sig", F.col("label").alias("node"), "lo", "hi", "r", F.array(*SKETCH).alias("bits"))
     blocks = inside.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / BLOCK_NODES).alias("blocks"))
     dealt = _celled(inside.join(blocks, "sig"))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("block")
         one, two = rows[rows["block"] == rows["i"]], rows[rows["block"] == rows["j"]]
+        if not len(one) or not len(two):
+            return pd.DataFrame({"a": pd.array([], "Int64"), "b": pd.array([], "Int64")})
         x, y = [np.stack(r["bits"]).astype(np.int64).view(np.uint64) for r in (one, two)]
-        n, m = one["n"].to_numpy(), two["n"].to_numpy()
-        a, b = one["node"].to_numpy(), two["node"].to_numpy()
-        la, lb = one["label"].to_numpy(), two["label"].to_numpy()
+        (a, lo, hi, r), (b, lo2, hi2, r2) = [[t[c].to_numpy() for c in ("node", "lo", "hi", "r")] for t in (one, two)]
         left, right = [], []
-        for lo in range(0, len(a), 64):
-            part = slice(lo, lo + 64)
-            apart = np.bitwise_count(x[part, None, :] ^ y[None]).sum(2, dtype=np.int64)
-            u, v = n[part, None], m[None]
-            good = (np.minimum(u, v) * 100 >= np.maximum(u, v) * PERCENT) & (apart * (100 + PERCENT) <= (u + v) * (100 - PERCENT)) & (la[part, None] != lb[None])
-            p, q = np.nonzero(good)
+        for at in range(0, len(a), 64):
+            part = slice(at, at + 64)
+            apart = np.bitwise_count(x[part, None, :] ^ y[None]).sum(2, dtype=np.int64) - r[part, None] - r2[None]
+            most = hi[part, None] + hi2[None]
+            good = (hi[part, None] * 100 >= lo2[None] * PERCENT) & (hi2[None] * 100 >= lo[part, None] * PERCENT)
+            p, q = np.nonzero(good & (apart * (100 + PERCENT) <= most * (100 - PERCENT)) & (a[part, None] != b[None]))
             left.append(a[part][p])
             right.append(b[q])
         p, q = np.concatenate(left), np.concatenate(right)
@@ -564,18 +572,25 @@ def _searched(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFra
     shingles = nodes.agg(F.sum("n")).first()[0] or 0
     met = checkpointed(_met(_narrowed(docs, nodes.select(F.col("node").alias("id"), "label")), hot, shingles))
 
+    # Pairs of clusters that sizes and sketches allow, and then of their nodes.
+    balls = checkpointed(_balls(nodes))
+    one, two = [balls.select(*[F.col(c).alias(f"{side}{c}") for c in balls.columns]) for side in "xy"]
+    near = (F.col("xhi") * 100 >= F.col("ylo") * PERCENT) & (F.col("yhi") * 100 >= F.col("xlo") * PERCENT)
+    near &= (bits_apart("x", "y") - F.col("xr") - F.col("yr")) * (100 + PERCENT) <= (F.col("xhi") + F.col("yhi")) * (100 - PERCENT)
     labelled = met.where("sig is null").select("a", "b").distinct()
-    x, y = _prefixed(nodes, "x_"), _prefixed(nodes, "y_")
-    two = labelled.join(x, F.col("a") == F.col("x_label")).join(y, (F.col("b") == F.col("y_label")) & can_link("x_", "y_"))
-    pairs = two.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"))
+    labelled = labelled.join(one, F.col("a") == F.col("xlabel")).join(two, (F.col("b") == F.col("ylabel")) & near).select("a", "b")
     members = met.where("sig is not null").select("sig", "a")
     if not members.isEmpty():
         members = members.distinct()
         # Of groups with the same members one is enough.
         sums = members.groupBy("sig").agg(F.count("a").alias("size"), *[F.sum(F.xxhash64(F.lit(k), "a").cast("decimal(38,0)")).alias(f"k{k}") for k in (0, 1)])
-        one = sums.groupBy("size", "k0", "k1").agg(F.min("sig").alias("sig")).select("sig")
-        pairs = pairs.union(_in_large_groups(members.join(one, "sig"), nodes)).distinct()
-    ends = pairs.join(x, F.col("a") == F.col("x_node")).join(y, F.col("b") == F.col("y_node"))
+        kept = sums.groupBy("size", "k0", "k1").agg(F.min("sig").alias("sig")).select("sig")
+        labelled = labelled.union(_in_large_groups(members.join(kept, "sig"), balls)).distinct()
+    labelled = checkpointed(labelled)
+    x, y = _prefixed(nodes, "x_"), _prefixed(nodes, "y_")
+    pairs = labelled.join(x, F.col("a") == F.col("x_label")).join(y, (F.col("b") == F.col("y_label")) & can_link("x_", "y_"))
+    ends = pairs.select("x_node", "x_label", "x_n", *[f"x_{s}" for s in SKETCH], "y_node", "y_label", "y_n", *[f"y_{s}" for s in SKETCH])
+    ends = ends.withColumns({"a": F.least("x_node", "y_node"), "b": F.greatest("x_node", "y_node")})
     ends = checkpointed(ends.select("a", "b", F.col("x_label").alias("la"), F.col("y_label").alias("lb"), bits_apart("x_", "y_").alias("apart"), (F.col("x_n") + F.col("y_n")).alias("both")))
     pairs = checkpointed(_allowed(ends, large))
     nearest = pairs.groupBy(F.least("la", "lb"), F.greatest("la", "lb")).agg(F.min_by(F.struct("a", "b"), F.struct("apart", "a", "b")).alias("p")).select("p.a", "p.b")
@@ -664,7 +679,7 @@ def _common(u: np.ndarray, at_u: np.ndarray, v: np.ndarray, at_v: np.ndarray) ->
     left = by_col[0][few[held[0]]]
     start = np.searchsorted(held[1], of[0][left])
     times = dv[of[0][left]]
-    step = np.flatnonzero(np.diff(np.cumsum(times) // (1 << 22), prepend=-1)) if len(times) else np.empty(0, np.int64)
+    step = np.flatnonzero(np.diff(np.cumsum(times) // (1 << 20), prepend=-1)) if len(times) else np.empty(0, np.int64)
     for lo, hi in zip(step.tolist(), [*step[1:].tolist(), len(times)], strict=False):
         t = times[lo:hi]
         at = np.repeat(start[lo:hi] - np.concatenate([[0], np.cumsum(t)[:-1]]), t) + np.arange(t.sum())
