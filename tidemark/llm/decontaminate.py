@@ -48,13 +48,15 @@ def shingle_keys(ids: np.ndarray, size: int) -> np.ndarray:
 class Windows:
     """The distinct windows of a block of items, and their shingles by size."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int, shingle: int):
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int, shingle: int):
         self.vocab: dict[bytes, int] = {}
         found: dict[tuple[int, ...], set[str]] = {}
         for item, words in items:
             ids = [self.vocab.setdefault(w, len(self.vocab) + 1) for w in words]
             for i in range(max(1, len(ids) - window + 1)):
-                found.setdefault(tuple(ids[i : i + window]), set()).add(item)
+                ids_of = found.setdefault(tuple(ids[i : i + window]), set())
+                if item is not None:
+                    ids_of.add(item)
         self.items = [sorted(x) for x in found.values()]
         self.length = np.array([len(x) for x in found], np.int64)
         self.words = np.zeros((len(found), window), np.int32)
@@ -170,18 +172,19 @@ def contamination(docs: DataFrame, items: DataFrame, keep: list[str], window: in
     One row for each document row: the columns `keep`, text, n_words, spans (merged [start, end)
     word ranges inside occurrences) and items (ids as strings, sorted, distinct).
     Null and empty texts have no words and no hits; repeated documents stay repeated;
-    items with a null id, or without words, take no part; repeated items count once.
+    items without words take no part, those with a null id hit but are not listed;
+    repeated items count once.
     An empty benchmark leaves every document clean. Other columns are not read.
     """
     spark = docs.sparkSession
-    items = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
+    items = items.where("text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), SCHEMA])
     found = docs.select(*keep, "text", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<start:long,end:long>>").alias("spans"), F.array().cast("array<string>").alias("items"))
     for b in range(blocks):
-        mine = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b) if blocks > 1 else items
-        # Bounded by block_bytes, give or take how evenly the ids hash.
+        mine = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b) if blocks > 1 else items
+        # Bounded by block_bytes, give or take how evenly the texts hash.
         texts = [(i, w) for i, t in mine.collect() if (w := split(t, WORDS))]
         index = Windows(texts, window, shingle)
         if index.sizes:
