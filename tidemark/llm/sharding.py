@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Rows of one cell are dealt over this many groups.
 SPREAD = 64
+#: Parts of a run, by id.
+SPLIT = 16
 
 
 def hilbert_index(dims: list[Column], bits: int) -> Column:
@@ -80,7 +82,7 @@ def category(value: Column, bits: int) -> Column:
 
 
 def magnitude(value: Column, bits: int) -> Column:
-    """A count's code: half the binary logarithm steps of it, kept in range. Null and what is below 1 is 0."""
+    """A count's code: the binary logarithm, rounded down and kept in range, so that all from 2 ** (2 ** bits - 1) on share a code. Null and what is below 1 is 0."""
     top = 2**bits - 1
     return F.coalesce(F.least(F.greatest(F.floor(F.log2(F.greatest(value.cast("double"), F.lit(1.0)))), F.lit(0)), F.lit(top)).cast("int"), F.lit(0))
 
@@ -119,13 +121,16 @@ def shard_documents(docs: DataFrame, shards: int = 16, bits: int = 4) -> DataFra
     """Documents in `shards` equal runs along the curve over language, source and length.
 
     Null dimensions take coordinate 0 and null texts have size 1 and the checksum of
-    an empty text. Only the named columns are read, so others may have any name.
+    an empty text. Inside a cell rows are in runs by the text's checksum, so equal texts
+    of one cell lie in one run; a run is in parts by id, so that a text which fills a
+    third of the table is not ordered by one task. Only the named columns are read, so others may have any name.
     """
     body = F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")
     cell = hilbert_index([category(F.col("lang"), bits), category(F.col("source"), bits), magnitude(F.col("n_chars"), bits)], bits)
     rows = docs.select("doc_id", (F.octet_length(F.coalesce(F.col("text"), F.lit(""))).cast("long") + 1).alias("size"), F.crc32(body).alias("text_crc32"), "lang", "source", "n_chars")
-    spread = F.pmod(F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8")), F.lit(SPREAD))
-    return shard_by_curve(rows, cell, spread, [F.col("doc_id"), F.col("text_crc32"), F.col("size")], shards)
+    by_id = F.pmod(F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8")), F.lit(SPLIT))
+    spread = F.pmod(F.col("text_crc32"), F.lit(SPREAD)) * SPLIT + by_id
+    return shard_by_curve(rows, cell, spread, [F.col("text_crc32"), F.col("size"), F.col("doc_id")], shards)
 
 
 def op10_hilbert_sharding(spark, sf_dir: str) -> DataFrame:
