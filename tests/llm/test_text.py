@@ -31,9 +31,9 @@ def windows(items):
     out = {}
     for i, t in items:
         w = split(t, WORDS)
-        if i is not None and w:
+        if w:
             for k in range(max(1, len(w) - 9)):
-                out.setdefault(tuple(w[k : k + 10]), set()).add(str(i))
+                out.setdefault(tuple(w[k : k + 10]), set()).update([] if i is None else [str(i)])
     return out
 
 
@@ -54,8 +54,8 @@ def brute_contamination(docs, items):
 @pytest.mark.parametrize("block", [1 << 20, 60])
 def test_decontamination(spark, block):
     a, b = words(30, 1), words(12, 2)
-    items = [(1, " ".join(a)), (2, " ".join(b)), (10, "Only Three-words"), (2, " ".join(b)), (None, " ".join(a)), (4, None), (5, ""), (6, "uno")]
-    docs = [(1, "x " + " ".join(a[5:17]) + " y"), (2, " ".join(a).upper()), (3, " ".join(b + b)), (4, "only three words, only three words"), (5, None), (6, ""), (7, " ".join(a[:9])), (7, " ".join(a[:9])), (None, "uno"), (8, " ".join(words(20000, 3)) + " " + " ".join(b))]
+    items = [(1, " ".join(a)), (2, " ".join(b)), (10, "Only Three-words"), (2, " ".join(b)), (None, " ".join(a)), (None, "only nameless"), (4, None), (5, ""), (6, "uno")]
+    docs = [(1, "x " + " ".join(a[5:17]) + " y"), (2, " ".join(a).upper()), (3, " ".join(b + b)), (4, "only three words, only three words"), (5, None), (6, ""), (7, " ".join(a[:9])), (7, " ".join(a[:9])), (None, "uno"), (9, "x only nameless"), (8, " ".join(words(20000, 3)) + " " + " ".join(b))]
     found = decontaminate.contamination(table(spark, docs), spark.createDataFrame(items, "item_id long, text string"), ["doc_id"], block_bytes=block)
     got = sorted(((r.doc_id, r.n_words, sum(s.end - s.start for s in r.spans), ",".join(r["items"])) for r in found.collect()), key=repr)
     assert got == brute_contamination(docs, items)
@@ -269,6 +269,19 @@ def test_lm_scores(spark):
     assert all(r.score < 0 for r in got)
 
 
+def test_lm_is_the_same_however_partitioned(spark, monkeypatch):
+    monkeypatch.setattr(lm, "LOT", 3000)
+    docs = table(spark, [(i, " ".join(words(60, i, 50))) for i in range(150)])
+    one, many = [{r.doc_id: r.score for r in lm.score_texts(d, d.where("doc_id % 5 <> 1")).collect()} for d in (docs.coalesce(1), docs.repartition(9))]
+    assert one == pytest.approx(many, rel=1e-5)
+
+
+def test_most_frequent_words(spark, monkeypatch):
+    monkeypatch.setattr(lm, "HEAD", 5)
+    counts = spark.createDataFrame([("a", 5000), ("b", 4990), ("c", 7), ("d", 7), ("e", 3), ("f", 3), ("g", 1)], "word string, c long")
+    assert [r.word for r in lm._most_frequent(counts)] == ["a", "b", "c", "d"]
+
+
 def test_lm_is_normalised():
     import numpy as np
 

@@ -31,6 +31,8 @@ from tidemark.llm.common import TOKENS, checkpointed, held_out, map_arrow, share
 SYMBOLS, BUCKETS, WIDTH, HEAD = 1024, 256, 16, 200_000
 #: Tokens of a step, noise symbols that they share, and the rate of Adagrad.
 STEP, NOISE, RATE = 2048, 32, 0.1
+#: Tokens that one model learns from, about, before the models are averaged.
+LOT = 1 << 21
 #: The end of a text as a word; no word can hold a line end.
 END = "\n"
 #: Words longer than this many bytes are known by their digest.
@@ -69,6 +71,19 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return map_arrow(docs.select("text"), run, "word string, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
 
+def _most_frequent(counts: DataFrame) -> list:
+    """HEAD words of LONG bytes at most, the most frequent first: all above the least count, by a histogram, that leaves no more."""
+    step = F.when(F.col("c") < 1024, F.col("c")).otherwise(F.floor(F.log2("c") * 64) + 384)  # 1024 and more go on from step 1024
+    total, least = 0, None
+    for r in sorted(counts.groupBy(step.alias("step")).count().collect(), reverse=True):
+        total += r["count"]
+        if total > HEAD:
+            break
+        least = r["step"]
+    rows = counts.where(step >= least).collect() if least is not None else []
+    return sorted(rows, key=lambda r: (-r.c, r.word))
+
+
 class Head:
     """The broadcast part: frequent words with counts and symbols, bucket totals, and the corpus's size."""
 
@@ -173,15 +188,21 @@ class Scorer:
         return (self.one[a, w] + self.two[b, w] - self.norm[a, b]) / np.log(10)
 
 
-def _train(docs: DataFrame, head, unigram: np.ndarray) -> Scorer:
-    """Trains on every partition and averages; what comes back has SYMBOLS rows, whatever the corpus."""
+def _train(docs: DataFrame, head, unigram: np.ndarray, tokens: int) -> Scorer:
+    """Trains on lots of about LOT tokens and averages; what comes back has SYMBOLS rows, whatever the corpus.
+
+    Lots and their order go by hashes of the rows, so that the model is a function of
+    the documents, however they are partitioned.
+    """
     start = share(docs.sparkSession, unigram)
+    lots = max(1, -(-tokens // LOT))
+    key = F.xxhash64(*[c for c in ("doc_id", "text") if c in docs.columns])
+    dealt = docs.select(F.pmod(key, F.lit(lots)).alias("lot"), F.xxhash64(F.lit(1), key, "text").alias("place"), "text")
+    dealt = dealt.repartition(lots, "lot").sortWithinPartitions("lot", "place", "text")
 
     def run(batches) -> Iterator[dict]:
-        model, rng = LogBilinear(start()), np.random.default_rng(5)
-        keys = _Keys(head())
-        seen = [np.zeros(SYMBOLS) for _ in range(3)]
-        w_, a_, b_, waiting = [], [], [], 0
+        keys, lot, model = _Keys(head()), None, None
+        w_, a_, b_, waiting, seen = [], [], [], 0, None
 
         def learn(least: int) -> None:
             nonlocal w_, a_, b_, waiting
@@ -196,12 +217,24 @@ def _train(docs: DataFrame, head, unigram: np.ndarray) -> Scorer:
                 s += np.bincount(x, minlength=SYMBOLS)
             w_, a_, b_, waiting = [], [], [], 0
 
-        for (texts,) in batches:
+        def ended() -> Iterator[dict]:
+            learn(0)
+            for kind, (values, count) in enumerate(((model.r, seen[0]), (model.c1, seen[1]), (model.c2, seen[2]))):
+                at = np.flatnonzero(count)
+                rows = np.concatenate([values, model.b[:, None]], axis=1) if kind == 0 else np.pad(values, ((0, 0), (0, 1)))
+                yield {"lot": [lot] * len(at), "kind": [kind] * len(at), "at": at, "n": count[at], "v": list((rows[at] * count[at][:, None]).astype(np.float64))}
+
+        for numbers, texts in batches:
             if len(keys) > 1 << 19:
                 keys = _Keys(head())
             flat = list(_numbered(texts, keys))
             symbols = np.array(keys.symbols, np.int64)
-            for ids in flat:
+            for number, ids in zip(numbers, flat, strict=True):
+                if number != lot:
+                    if model is not None:
+                        yield from ended()
+                    lot, model, rng = number, LogBilinear(start()), np.random.default_rng(5)
+                    seen = [np.zeros(SYMBOLS) for _ in range(3)]
                 w = symbols[ids]
                 a, b = _contexts(w)
                 w_.append(w)
@@ -209,13 +242,10 @@ def _train(docs: DataFrame, head, unigram: np.ndarray) -> Scorer:
                 b_.append(b)
                 waiting += len(w)
                 learn(STEP * 64)
-        learn(0)
-        for kind, (values, count) in enumerate(((model.r, seen[0]), (model.c1, seen[1]), (model.c2, seen[2]))):
-            at = np.flatnonzero(count)
-            rows = np.concatenate([values, model.b[:, None]], axis=1) if kind == 0 else np.pad(values, ((0, 0), (0, 1)))
-            yield {"kind": [kind] * len(at), "at": at, "n": count[at], "v": list((rows[at] * count[at][:, None]).astype(np.float64))}
+        if model is not None:
+            yield from ended()
 
-    parts = map_arrow(docs.select("text"), run, "kind int, at int, n double, v array<double>")
+    parts = map_arrow(dealt.select("lot", "text"), run, "lot long, kind int, at int, n double, v array<double>")
     sums = [F.sum(F.col("v")[i]).alias(f"s{i}") for i in range(WIDTH + 1)]
     rows = parts.groupBy("kind", "at").agg(F.sum("n").alias("n"), *sums).collect()
     first = LogBilinear(unigram)
@@ -240,7 +270,7 @@ def score_texts(docs: DataFrame, learn_from: DataFrame) -> DataFrame:
     counts = word_counts(learn_from)
     # The counts are used three times; written once, they also outlive their executors.
     counts = checkpointed(counts)
-    top = counts.orderBy(F.desc("c"), "word").limit(HEAD).collect()  # HEAD words of LONG bytes at most
+    top = _most_frequent(counts)
     size = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     head = Head([(r.word, r.c) for r in top], size.n, size.v)
 
@@ -262,7 +292,7 @@ def score_texts(docs: DataFrame, learn_from: DataFrame) -> DataFrame:
     mass[:BUCKETS] += 0.5  # a slot for unseen words
     mass[mass == 0] = 0.5
     held = share(spark, head)
-    scorer = _train(learn_from, held, mass / mass.sum())
+    scorer = _train(learn_from, held, mass / mass.sum(), size.n)
     total = size.n + 0.5 * (size.v + 1)
     model = share(spark, (scorer, np.log10(mass), np.log10(total)))
 
