@@ -42,12 +42,20 @@ def split(text: str | None, how: bytes) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(how).split() if text else []
 
 
-def worker_cache(name: str, make: Callable[[], object]):
-    """A value that a Python worker keeps between its tasks; losing the worker only costs time."""
+def worker_cache(owner: str, name: str, make: Callable[[], object]):
+    """A value that a Python worker keeps between its tasks; losing the worker only costs time.
+
+    It is kept on sys, since modules that travel by value are made anew for each task.
+    Values of another owner, the operator that the worker served before, are dropped.
+    """
     held = sys.__dict__.setdefault("_tidemark_held", {})
-    if name not in held:
-        held[name] = make()
-    return held[name]
+    if owner not in held:
+        held.clear()
+        held[owner] = {}
+    mine = held[owner]
+    if name not in mine:
+        mine[name] = make()
+    return mine[name]
 
 
 def share(spark: SparkSession, value) -> Callable[[], object]:
@@ -84,6 +92,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows of a batch that are Python objects at once.
+ROWS = 2000
+
+
 def map_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
     """mapInArrow where fn turns an iterator of column lists into one of column dicts."""
     from pyspark.sql.types import StructType, _parse_datatype_string
@@ -95,7 +107,7 @@ def map_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
     arrow = to_arrow_schema(out)
 
     def run(batches):
-        lists = ([c.to_pylist() for c in b.columns] for b in batches if b.num_rows)
+        lists = ([c.to_pylist() for c in b.slice(at, ROWS).columns] for b in batches for at in range(0, b.num_rows, ROWS))
         for made in fn(lists):
             yield pa.RecordBatch.from_arrays([pa.array(made[f.name], type=f.type) for f in arrow], schema=arrow)
 

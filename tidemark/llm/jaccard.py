@@ -52,6 +52,8 @@ SMALL, HOT, OFTEN = 8, 1 << 17, 8
 BITS64, MINIMA = 16, 8
 #: Entries that a map task sorts together, characters of text hashed together, and entries of a bucket, about.
 FLUSH, CHARS, BUCKET = 1 << 20, 1 << 20, 1 << 20
+#: Texts hashed together at most (each takes a place for every bit of its sketch).
+ROWS = 1 << 10
 #: Buckets at most.
 BUCKETS = 1 << 17
 #: Rows (two numbers) that are broadcast at most; beyond it they are joined by a shuffle.
@@ -130,10 +132,10 @@ def shingle_hashes(text: str | None) -> np.ndarray:
 
 
 def _portions(keys: list, texts: list) -> Iterator[tuple[list, list]]:
-    """The same rows in runs of about CHARS characters."""
+    """The same rows in runs of about CHARS characters and of ROWS rows at most."""
     lo, size = 0, 0
     for i, t in enumerate(texts):
-        if i > lo and size + len(t or "") > CHARS:
+        if i > lo and (size + len(t or "") > CHARS or i - lo == ROWS):
             yield keys[lo:i], texts[lo:i]
             lo, size = i, 0
         size += len(t or "")
@@ -288,7 +290,7 @@ def _describe(docs: DataFrame) -> DataFrame:
                 yield made | {s: bits[:, i] for i, s in enumerate(SKETCH)} | dict(zip(KEYS, minima(h, at), strict=True))
                 kept.append(h)
                 waiting += len(h)
-                if waiting > 4 * FLUSH:
+                if waiting > 2 * FLUSH:
                     yield often()
                     kept, waiting = [], 0
         if waiting:

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import TOKENS, checkpointed, held_out, map_arrow, share, split, table, worker_cache
+from tidemark.llm.common import TOKENS, checkpointed, held_out, map_arrow, share, split, table
 
 #: Symbols, of which so many are buckets; width of the model; words whose counts are broadcast.
 SYMBOLS, BUCKETS, WIDTH, HEAD = 1024, 256, 16, 200_000

@@ -25,7 +25,7 @@ from tidemark.llm.common import map_arrow, table, worker_cache
 from tidemark.llm.tokens import MARK, can_split, model_path
 
 #: Distinct words, and pairs of neighbouring pieces, that a worker remembers; longer words are not kept.
-HELD, HELD_PAIRS, HELD_CHARS = 1 << 18, 1 << 20, 48
+HELD, HELD_PAIRS, HELD_CHARS = 1 << 18, 1 << 19, 48
 #: Words and the runs between them that stand alone: a line end is no piece, so no merge crosses it.
 WORD = re.compile(" *[^ \n]+| +|\n")
 
@@ -145,11 +145,11 @@ class Codec:
 
 
 def codec(path: str) -> Codec:
-    return worker_cache(f"codec:{path}", lambda: Codec(path))
+    return worker_cache("pieces", path, lambda: Codec(path))
 
 
 #: Characters of texts that are encoded together.
-TOGETHER = 1 << 21
+TOGETHER = 1 << 19
 
 
 def _groups(texts: list[str | None]) -> Iterator[slice]:

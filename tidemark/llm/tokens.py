@@ -40,7 +40,7 @@ def load_model(path: str):
         except OSError:
             return sentencepiece.SentencePieceProcessor(model_file=SparkFiles.get(path.rpartition("/")[2]))
 
-    return worker_cache(f"model:{path}", make)
+    return worker_cache("tokens", f"model:{path}", make)
 
 
 def can_split(path: str) -> bool:
@@ -58,7 +58,7 @@ def can_split(path: str) -> bool:
 def counter(path: str):
     """A function from a text to its number of tokens."""
     model = load_model(path)
-    held: dict[str, int] = worker_cache(f"pieces:{path}", dict)
+    held: dict[str, int] = worker_cache("tokens", f"pieces:{path}", dict)
     breaks = len(model.encode("\n"))
 
     def pieces(words: list[str]) -> list[int]:

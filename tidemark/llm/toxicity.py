@@ -27,7 +27,7 @@ BITS, ALPHA, BETA, L1, PASSES = 20, 2.0, 1.0, 3.0, 5
 #: Scores from here on count as toxic.
 THRESHOLD = 0.3
 #: Words whose hashes a worker remembers.
-HELD = 1 << 19
+HELD = 1 << 18
 
 
 class _Hashes(dict):
@@ -43,7 +43,7 @@ def features(text: str | None, bits: int = BITS) -> np.ndarray:
     words = split(text, WORDS)
     if not words:
         return np.empty(0, np.int64)
-    known = worker_cache("word hashes", _Hashes)
+    known = worker_cache("toxicity", "word hashes", _Hashes)
     h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     pair = (h[:-1] * np.uint64(0x85EBCA77C2B2AE63)) ^ h[1:]
     skip = (h[:-2] * np.uint64(0xD6E8FEB86659FD93)) ^ h[2:]
