@@ -13,7 +13,7 @@ import pytest
 from tidemark.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-SOME = ["ohlc_bars_5m", "dedupe_keep_first", "resample_1h", "session_gaps", "indicator_a", "asof_join_backward", "state_conditional_returns", "hac_mean_by_state", "fdr_bh", "turn_confirmation_summary", "rule_enumeration", "rule_active_flags", "triple_barrier", "regime_label"]
+SOME = ["ohlc_bars_5m", "dedupe_keep_first", "resample_1h", "session_gaps", "indicator_a", "asof_join_backward", "state_conditional_returns", "hac_mean_by_state", "fdr_bh", "turn_confirmation_summary", "rule_enumeration", "rule_active_flags", "triple_barrier", "regime_label", "early_turn_summary", "aligned_vs_tired_means", "pullback_means", "squeeze_on_master", "asymmetry_summary", "score_monotonicity", "score_returns_wide", "joint_state_wide", "carried_rules"]
 
 
 def plain(v):
@@ -37,6 +37,6 @@ def test_equals_sql(spark, name):
 
 def test_rest_does_without_the_optional_parts():
     root = Path(__file__).resolve().parent.parent
-    code = "import importlib.util as u; f = u.find_spec; u.find_spec = lambda n, *a: None if n in ('tidemark.llm', 'corpus_pipeline') else f(n, *a)\nimport __spark_entry__ as e; assert 'ohlc_bars_5m' in e.queries() and not [k for k in e.queries() if k.startswith('op')] and e.oracle_sql()"
+    code = "import sys; sys.modules['tidemark.llm'] = sys.modules['corpus_pipeline'] = None\nimport __spark_entry__ as e; assert 'ohlc_bars_5m' in e.queries() and not [k for k in e.queries() if k.startswith('op') or k == 'pipeline'] and e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=root, check=True)
     assert not [p for p in (root / "tidemark").rglob("*.py") if "llm" not in p.parts and "tidemark.llm" in p.read_text()]

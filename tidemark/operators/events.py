@@ -54,6 +54,23 @@ def early_turns(df: DataFrame, bars: int = 3, ahead: int = 20, first_only: bool
     return runs.where(F.col("streak") == bars if first_only else F.col("streak") >= bars)
 
 
+def early_turn_summary(events: DataFrame, part: list[str] = PART) -> DataFrame:
+    """Early turns, those that were confirmed, and the share of false starts."""
+    return events.groupBy(*part).agg(F.count(F.lit(1)).alias("n_events"), F.count_if("confirmed").alias("n_confirmed"), F.avg((~F.col("confirmed")).cast("double")).alias("false_start_rate"))
+
+
+def group_means(events: DataFrame, horizons: list[str], part: list[str] = PART) -> DataFrame:
+    """Events and mean returns of each group of an event table."""
+    return events.groupBy(*part, "group").agg(F.count(F.lit(1)).alias("n"), *[F.avg(h).alias(f"mean_{h}") for h in horizons])
+
+
+def at_first_lower_row(events: DataFrame, master: DataFrame, htf_close: str, part: list[str] = PART, order: str = ORDER) -> DataFrame:
+    """Events of a higher bar size, moved to the first master row that saw their bar; without one they are left out."""
+    first = master.where(F.col(htf_close).isNotNull()).groupBy(*part, F.col(htf_close).alias("_htf")).agg(F.min(order).alias("_first"))
+    there = events.withColumnRenamed(order, "_htf").join(first, [*part, "_htf"])
+    return there.withColumnRenamed("_first", order).drop("_htf")
+
+
 def turn_confirmations(df: DataFrame, flip: str, confirm: str, threshold: float = 0.0, bars: int = 20, part: list[str] = PART, order: str = ORDER) -> DataFrame:
     """For each row whose flip is 1 the rows until `confirm` exceeds the threshold, within `bars`."""
     rows = df if "bar_idx" in df.columns else with_bar_idx(df, part, order)

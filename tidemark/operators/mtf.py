@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.stats import hac_mean
+from tidemark.functions.stats import hac_mean, rank_correlations
 from tidemark.schema import FLAGS, ORDER, PART, STATES, TIMEFRAMES, flag_column, name_for
 
 
@@ -67,6 +67,21 @@ def asymmetry(bull: DataFrame, bear: DataFrame, part: list[str] = PART) -> DataF
     return a.join(b, keys).withColumn("abs_diff", F.abs("mean_bull") - F.abs("mean_bear"))
 
 
+def asymmetry_summary(table: DataFrame, part: list[str] = PART) -> DataFrame:
+    """By horizon: the mean difference of an asymmetry table, and on how many scores either side was larger."""
+    return table.groupBy(*part, "horizon").agg(F.avg("abs_diff").alias("mean_diff"), F.count_if(F.col("abs_diff") > 0).alias("n_bull_larger"), F.count_if(F.col("abs_diff") < 0).alias("n_bear_larger"))
+
+
+def score_monotonicity(returns: DataFrame, part: list[str] = PART) -> DataFrame:
+    """By horizon: Spearman's correlation of score and mean return, over the scores that have a mean."""
+    return rank_correlations(returns.select(*part, "horizon", "score", "mean_ret").withColumnRenamed("horizon", "h"), ["score"], ["mean_ret"], [*part, "h"]).select(*part, F.col("h").alias("horizon"), "corr")
+
+
+def wide(table: DataFrame, keys: list[str], column: str, names: list, value: str) -> DataFrame:
+    """A long table with one column for each of the names; cells that do not occur are null."""
+    return table.groupBy(*keys).pivot(column, names).agg(F.first(value))
+
+
 def transition_summary(events: DataFrame, part: list[str] = PART) -> DataFrame:
     """By direction: events, the share that followed through, and the median lag of those."""
     return events.groupBy(*part, "direction").agg(F.count(F.lit(1)).alias("n_events"), F.avg(F.col("followed_through").cast("double")).alias("p_followthrough"), F.median("lag_bars").alias("median_lag_bars"))

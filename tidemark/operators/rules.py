@@ -65,6 +65,12 @@ def dedupe(ranked: DataFrame, least: int = 2, part: list[str] = PART) -> DataFra
     return listed.select(*part, F.posexplode(kept).alias("place", "rule_id"))
 
 
+def carry(evaluated: DataFrame, rules: list[int]) -> DataFrame:
+    """The rows of the listed rules, with each rule's place in the list."""
+    listed = evaluated.sparkSession.createDataFrame([(k, x) for k, x in enumerate(rules)], "place int, rule_id int")
+    return evaluated.join(F.broadcast(listed), "rule_id")  # as many rows as the caller listed
+
+
 def with_outcome(df: DataFrame, ret: str, expected: int = 1) -> DataFrame:
     """Adds worked: the return has the expected sign; a return of zero has not, a missing one is null."""
     return df.withColumn("worked", F.when(F.col(ret).isNotNull(), F.signum(ret) == expected))
@@ -94,6 +100,17 @@ def before_after(df: DataFrame, mask: Column, keep: Column, ret: str = "ret_fwd_
     return stats.withColumn("frequency", F.try_divide("n_rows", F.max("n_rows").over(total))).drop("n_rows")
 
 
+def apply_filters(df: DataFrame, proposals: DataFrame, features: list[str], part: list[str] = PART) -> DataFrame:
+    """One row for each row and proposal of its series, with whether the filter keeps it; what is missing is not kept.
+
+    proposals: (part, feature, midpoint, direction), as propose_filters() gives them.
+    """
+    long = df.withColumn("_f", F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in features]))).select("*", "_f.*").drop("_f")
+    kept = F.when(F.col("direction") == "above", F.col("value") > F.col("midpoint")).otherwise(F.col("value") < F.col("midpoint"))
+    # As many proposals as features for each series.
+    return long.join(F.broadcast(proposals.select(*part, "feature", "midpoint", "direction")), [*part, "feature"]).withColumn("kept", truth(kept))
+
+
 def compare_splits(inside: DataFrame, validation: DataFrame, test: DataFrame, part: list[str] = PART) -> DataFrame:
     """Three evaluations side by side; a mean whose sign is not the inside one, or that is missing, has collapsed."""
     keys = [*part, "rule_id"]

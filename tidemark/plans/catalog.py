@@ -20,7 +20,7 @@ from tidemark.operators import resample as R
 from tidemark.operators import rules as Q
 from tidemark.operators.sequence import ema
 from tidemark.plans.oracles import ORACLES
-from tidemark.schema import HIGHER, TIMEFRAMES, Spans
+from tidemark.schema import HIGHER, STATES, TIMEFRAMES, Spans
 from tidemark.sources import bars as B
 
 #: Rows dropped for warming up, and the short spans of the daily bars: the events last a month.
@@ -84,6 +84,9 @@ def master(spark: SparkSession, sf: str) -> DataFrame:
     """The master table, which a session keeps for the data it last asked for: most queries below read it, some several times."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _held:
+        for app, old in [(k[0], v) for k, v in _held.items()]:
+            if app == key[0]:
+                old.unpersist()
         _held.clear()
         frames = {"5m": targets(spark, sf), **{tf: frame(spark, sf, tf) for tf in HIGHER}}
         _held[key] = J.master(frames).persist(StorageLevel.MEMORY_AND_DISK)
@@ -338,6 +341,21 @@ def early_turn_runs(spark, sf):
     return E.early_turns(targets(spark, sf)).select("series_id", "bar_close", "streak", "confirmed")
 
 
+@query
+def early_turn_summary(spark, sf):
+    return rounded(E.early_turn_summary(E.early_turns(targets(spark, sf))))
+
+
+@query
+def aligned_vs_tired_means(spark, sf):
+    return rounded(E.group_means(E.aligned_or_tired(targets(spark, sf)), SHORT), 5)
+
+
+@query
+def pullback_means(spark, sf):
+    return rounded(E.group_means(E.pullbacks(targets(spark, sf)), SHORT), 5)
+
+
 @query
 def turn_confirmation(spark, sf):
     return E.turn_confirmations(targets(spark, sf), "A_hist_zero_cross", "B_gap_acc")
@@ -380,6 +398,13 @@ def squeeze_event_study(spark, sf):
     return rounded(E.squeeze_returns(E.compressions(t), t, SHORT), 5)
 
 
+@query
+def squeeze_on_master(spark, sf):
+    """Expansions of the 15m bars, with the 5m returns from the first row that saw them."""
+    m = master(spark, sf)
+    return rounded(E.squeeze_returns(E.at_first_lower_row(E.compressions(frame(spark, sf, "15m")), m, "bar_close_15m"), m, SHORT), 5)
+
+
 # Across bar sizes
 
 
@@ -430,9 +455,40 @@ def bull_bear_asymmetry(spark, sf):
     return rounded(M.asymmetry(M.score_returns(m, "score_bull", SHORT), M.score_returns(m, "score_bear", SHORT)), 5)
 
 
+@query
+def asymmetry_summary(spark, sf):
+    m = M.with_scores(master(spark, sf))
+    return rounded(M.asymmetry_summary(M.asymmetry(M.score_returns(m, "score_bull", SHORT), M.score_returns(m, "score_bear", SHORT))), 5)
+
+
+@query
+def score_monotonicity(spark, sf):
+    return rounded(M.score_monotonicity(M.score_returns(M.with_scores(master(spark, sf)), "score_bull", SHORT)), 5)
+
+
+@query
+def score_returns_wide(spark, sf):
+    long = M.score_returns(M.with_scores(master(spark, sf)), "score_bull", SHORT)
+    return rounded(M.wide(long, ["series_id", "score"], "horizon", SHORT, "mean_ret"), 5)
+
+
+@query
+def joint_state_wide(spark, sf):
+    return M.wide(S.joint_states(targets(spark, sf), "A_state", "B_state", RET), ["series_id", "state_a"], "state_b", list(STATES), "n")
+
+
 # Rules
 
 
+#: The rules that are carried to validation, in the order in which they were listed.
+CARRIED = [255, 0, 151, 31]
+
+
+@query
+def carried_rules(spark, sf):
+    return rounded(Q.carry(Q.evaluate(master(spark, sf)), CARRIED).select("series_id", "place", "rule_id", "n", "mean_ret"), 5)
+
+
 @query
 def rule_enumeration(spark, sf):
     return Q.enumerate_rules(spark)
@@ -479,6 +535,15 @@ def propose_filters(spark, sf):
     return rounded(found.select("series_id", "feature", "cohens_d", "midpoint", "direction"), 5)
 
 
+@query
+def filters_applied(spark, sf):
+    """Every proposed filter on the rows that it was proposed for: how many it keeps, and their mean return."""
+    rows = Q.with_outcome(master(spark, sf).where("A_state = 'bull_accel'"), RET)
+    features = ["A_hist", "A_macd", "B_gap", "A_hist_1h", "B_gap_1h"]
+    made = Q.apply_filters(rows, Q.propose_filters(S.mean_difference(rows, "worked", features), 0.05), features)
+    return rounded(made.groupBy("series_id", "feature").agg(F.count(F.lit(1)).alias("n_before"), F.count_if("kept").alias("n_after"), F.avg(F.when(F.col("kept"), F.col(RET))).alias("mean_after")), 5)
+
+
 @query_p
 def filter_before_after(spark, sf):
     return rounded(Q.before_after(master(spark, sf), F.col("A_state") == "bull_accel", F.col("A_hist_1h") > 0), 5)
@@ -558,10 +623,18 @@ def roc_auc(spark, sf):
 MODEL_COLUMNS, TREES, REPEATS = ML.feature_columns(), 200, 10
 
 
+_models: dict = {}
+
+
 def fitted(spark, sf):
+    """The model, which a session keeps for the data it last asked for: three queries read it; and the rows held out."""
     rows = matrix(spark, sf).select("series_id", "bar_close", "y", *MODEL_COLUMNS)
     inside, held, _ = splits(rows)
-    return ML.train(inside, MODEL_COLUMNS, trees=TREES), held
+    key = (spark.sparkContext.applicationId if spark else None, sf)
+    if key not in _models:
+        _models.clear()
+        _models[key] = ML.train(inside, MODEL_COLUMNS, trees=TREES)
+    return _models[key], held
 
 
 @query

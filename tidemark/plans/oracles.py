@@ -212,7 +212,7 @@ oracle(
 oracle(
     "fdr_bh",
     f"""SELECT o_orderkey, o_orderstatus, {r('p')}, {r('least(1.0, min(raw) OVER (PARTITION BY o_orderstatus ORDER BY p, o_orderkey ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))', 'p_adj')} FROM (
-    SELECT *, p * count(*) OVER (PARTITION BY o_orderstatus) / row_number() OVER (PARTITION BY o_orderstatus ORDER BY p, o_orderkey) AS raw FROM (SELECT o_orderkey, o_orderstatus, o_totalprice / 1e6 AS p FROM orders WHERE o_orderkey % 10 = 0))""",
+    SELECT *, p * count(*) OVER (PARTITION BY o_orderstatus) / row_number() OVER (PARTITION BY o_orderstatus ORDER BY p, o_orderkey) AS raw FROM (SELECT o_orderkey, o_orderstatus, o_totalprice / 1e6 AS p FROM orders))""",
 )
 cte("pt", f"SELECT * FROM (SELECT *, lag(A_state) OVER {W} AS before FROM t) WHERE before = 'bull_accel' AND A_state = 'bull_decel'", "t")
 oracle("peak_transition_events", f"SELECT series_id, bar_close, {r('ret_fwd_3')}, {r('ret_fwd_12')} FROM pt", "pt")
@@ -335,3 +335,30 @@ oracle(
     SELECT series_id, ret_fwd_12 > 0 AS y, rank() OVER (PARTITION BY series_id ORDER BY A_hist) + (count(*) OVER (PARTITION BY series_id, A_hist) - 1) / 2 AS k FROM t WHERE ret_fwd_12 IS NOT NULL) GROUP BY series_id)""",
     "t",
 )
+oracle("early_turn_summary", f"SELECT series_id, count(*) AS n_events, count(*) FILTER (confirmed) AS n_confirmed, {r('avg((NOT confirmed)::INTEGER::DOUBLE)', 'false_start_rate')} FROM ({ORACLES['early_turn_runs']}) GROUP BY series_id")
+MEANS = f"count(*) AS n, {r('avg(ret_fwd_3)', 'mean_ret_fwd_3', 5)}, {r('avg(ret_fwd_12)', 'mean_ret_fwd_12', 5)}"
+oracle("aligned_vs_tired_means", f"""SELECT series_id, CASE WHEN A_hist > 0 AND A_hist_slope > 0 THEN 'aligned' ELSE 'tired' END AS "group", {MEANS} FROM t WHERE A_macd_zero_cross = 1 GROUP BY 1, 2""", "t")
+oracle("pullback_means", f"""SELECT series_id, CASE WHEN A_macd > 0 THEN 'with_trend' ELSE 'counter_trend' END AS "group", {MEANS} FROM t WHERE A_hist_zero_cross = 1 GROUP BY 1, 2""", "t")
+cte("lmm", long("mm", "series_id"), "mm")
+cte("cf", "SELECT ce.series_id, ce.direction, f.bar_close FROM ce JOIN (SELECT series_id, bar_close_15m, min(bar_close) AS bar_close FROM mm GROUP BY ALL) f ON f.series_id = ce.series_id AND f.bar_close_15m = ce.bar_close", "ce", "mm")
+oracle(
+    "squeeze_on_master",
+    f"""SELECT series_id, horizon, n, {r('mean_directional', digits=5)}, {r('mean_abs', digits=5)}, {r('mean_abs_all', digits=5)} FROM (SELECT series_id, horizon, count(ret) AS n, avg(direction * ret) AS mean_directional, avg(abs(ret)) AS mean_abs FROM cf JOIN lmm USING (series_id, bar_close) GROUP BY ALL)
+    JOIN (SELECT series_id, horizon, avg(abs(ret)) AS mean_abs_all FROM lmm GROUP BY ALL) USING (series_id, horizon)""",
+    "cf", "lmm",
+)
+oracle(
+    "asymmetry_summary",
+    f"""SELECT series_id, horizon, {r('avg(d)', 'mean_diff', 5)}, count(*) FILTER (d > 0) AS n_bull_larger, count(*) FILTER (d < 0) AS n_bear_larger FROM (
+    SELECT series_id, horizon, abs(a.mean_ret) - abs(b.mean_ret) AS d FROM sbull a JOIN sbear b USING (series_id, score, horizon)) GROUP BY ALL""",
+    "sbull", "sbear",
+)
+oracle(
+    "score_monotonicity",
+    f"""SELECT series_id, horizon, {r(pearson('rx', 'ry'), 'corr', 5)} FROM (SELECT *, rank() OVER (PARTITION BY series_id, horizon ORDER BY score)::DOUBLE AS rx, rank() OVER (PARTITION BY series_id, horizon ORDER BY mean_ret) + (count(*) OVER (PARTITION BY series_id, horizon, mean_ret) - 1) / 2 AS ry
+    FROM sbull WHERE mean_ret IS NOT NULL) GROUP BY ALL""",
+    "sbull",
+)
+oracle("score_returns_wide", "SELECT series_id, score, " + ", ".join(r(f"max(mean_ret) FILTER (horizon = '{h}')", h, 5) for h in ("ret_fwd_3", "ret_fwd_12")) + " FROM sbull GROUP BY series_id, score", "sbull")
+oracle("joint_state_wide", "SELECT series_id, state_a, " + ", ".join(f"max(n) FILTER (state_b = '{s}') AS {s}" for s in ("bull_accel", "bull_decel", "bear_decel", "bear_accel")) + " FROM jm GROUP BY series_id, state_a", "jm")
+oracle("carried_rules", f"SELECT series_id, (list_position([255, 0, 151, 31], rule_id) - 1)::INTEGER AS place, rule_id, n, {r('mean_ret', digits=5)} FROM ev WHERE rule_id IN (255, 0, 151, 31)", "ev")
