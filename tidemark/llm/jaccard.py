@@ -590,7 +590,12 @@ def _searched(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFra
         labelled = labelled.union(_in_large_groups(members.join(kept, "sig"), balls)).distinct()
     labelled = checkpointed(labelled)
     x, y = _prefixed(nodes, "x_"), _prefixed(nodes, "y_")
-    pairs = labelled.join(x, F.col("a") == F.col("x_label")).join(y, (F.col("b") == F.col("y_label")) & can_link("x_", "y_"))
+    # A node of one cluster goes on only if it is near enough to the other cluster as a whole.
+    facing = labelled.join(two, F.col("b") == F.col("ylabel"))
+    fits = (F.col("x_n") * 100 >= F.col("ylo") * PERCENT) & (F.col("yhi") * 100 >= F.col("x_n") * PERCENT)
+    fits &= (bits_apart("x_", "y") - F.col("yr")) * (100 + PERCENT) <= (F.col("x_n") + F.col("yhi")) * (100 - PERCENT)
+    some = facing.join(x, (F.col("a") == F.col("x_label")) & fits).select("b", *x.columns)
+    pairs = some.join(y, (F.col("b") == F.col("y_label")) & can_link("x_", "y_"))
     ends = pairs.select("x_node", "x_label", "x_n", *[f"x_{s}" for s in SKETCH], "y_node", "y_label", "y_n", *[f"y_{s}" for s in SKETCH])
     ends = ends.withColumns({"a": F.least("x_node", "y_node"), "b": F.greatest("x_node", "y_node")})
     ends = checkpointed(ends.select("a", "b", F.col("x_label").alias("la"), F.col("y_label").alias("lb"), bits_apart("x_", "y_").alias("apart"), (F.col("x_n") + F.col("y_n")).alias("both")))
