@@ -507,8 +507,8 @@ def _clusters(nodes: DataFrame, large: DataFrame, docs: DataFrame) -> DataFrame
     hub = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
     near = keyed.join(hub, "key").where("node <> hub").select("node", "hub").distinct()
     two = near.join(_prefixed(nodes, "x_"), F.col("node") == F.col("x_node")).join(_prefixed(nodes, "y_"), F.col("hub") == F.col("y_node")).where(can_link("x_", "y_"))
-    two = _allowed(two.select(F.col("node").alias("a"), F.col("hub").alias("b"), bits_apart("x_", "y_").alias("apart"), (F.col("x_n") + F.col("y_n")).alias("both")), large)
-    best = two.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b"))
+    two = checkpointed(two.select(F.col("node").alias("a"), F.col("hub").alias("b"), bits_apart("x_", "y_").alias("apart"), (F.col("x_n") + F.col("y_n")).alias("both")))
+    best = checkpointed(_allowed(two, large).groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b")))
     links = checkpointed(_verify(best, docs))
     return None if links.isEmpty() else checkpointed(components(links))
 
