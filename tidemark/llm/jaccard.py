@@ -58,6 +58,8 @@ ROWS = 1 << 10
 BUCKETS = 1 << 17
 #: Rows (two numbers) that are broadcast at most; beyond it they are joined by a shuffle.
 BROADCAST_ROWS = 1 << 19
+#: Edges that a task of the components' rounds reads, about.
+EDGES = 1 << 16
 #: Nodes and shingles of a block when links are counted, about.
 BLOCK_NODES, BLOCK_SHINGLES = 1 << 11, 1 << 20
 #: Odd multipliers (fixed values).
@@ -458,23 +460,29 @@ def components(links: DataFrame) -> DataFrame:
 
     Alternates two steps until nothing changes: every node hands its larger
     neighbours, then its smaller ones, to the smallest node among them. Each round is
-    checkpointed; stars settle in two.
+    checkpointed; stars settle in one. A round reads its edges in as many tasks as
+    their number asks for, and broadcasts a number for each node up to BROADCAST_ROWS.
     """
-    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    before = None
-    while True:
-        ends = edges.union(edges.select("v", "u"))
-        least = ends.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+
+    def state(edges: DataFrame):
+        return edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
+
+    edges = checkpointed(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    now, before = state(edges), None
+    while now != before:
+        edges = edges.coalesce(now["n"] // EDGES + 1)
+        by_node = F.broadcast if 2 * now["n"] <= BROADCAST_ROWS else lambda rows: rows
+        ends = edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e"))
+        least = ends.groupBy(F.col("e.u").alias("v")).agg(F.min("e.v").alias("m")).select("v", F.least("v", "m").alias("m"))
         # Large neighbours to the least of the whole neighbourhood.
-        large = ends.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = edges.join(by_node(least), "v").select("u", F.col("m").alias("v"))
         # Small neighbours, and the node itself, to the least of them.
         small_least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(small_least, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")).select(F.col("e.v").alias("u"), F.col("e.m").alias("v"))
+        small = large.join(by_node(small_least), "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")).select(F.col("e.v").alias("u"), F.col("e.m").alias("v"))
         edges = checkpointed(small.where("u <> v").distinct())
-        now = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if now == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).union(edges.select("v", "v").distinct())
-        before = now
+        now, before = state(edges), now
+    edges = edges.coalesce(now["n"] // EDGES + 1)
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).union(edges.select("v", "v").distinct())
 
 
 def _prefixed(nodes: DataFrame, prefix: str) -> DataFrame:
