@@ -95,11 +95,20 @@ def test_coding_documents(spark):
     assert pieces.round_trip(table(spark, []), PATH).count() == 0
 
 
-def test_token_counts(spark):
+@pytest.mark.parametrize("head", [0, 40, tokens.HEAD])
+def test_token_counts(spark, head):
     sp = sentencepiece.SentencePieceProcessor(model_file=PATH)
-    got = {r.doc_id: (r.n_bytes, r.n_tokens) for r in tokens.count_tokens(table(spark, list(enumerate(texts()))), PATH).collect()}
-    assert got == {i: (len((t or "").encode()), len(sp.encode(t or ""))) for i, t in enumerate(texts())}
-    assert tokens.count_tokens(table(spark, []), PATH).count() == 0
+    given = [*enumerate(texts()), (1, "one id\ttwice"), (1, "one id\ttwice"), (None, "no id"), (None, None), (-1, "x" * 200_000 + " " + "y" * 40), (-2, "y" * 40 + "\n" + " y" * 40)]
+    got = sorted(((r.doc_id, r.n_bytes, r.n_tokens) for r in tokens.count_tokens(table(spark, given), PATH, head).collect()), key=repr)
+    assert got == sorted(((i, len((t or "").encode()), len(sp.encode(t or ""))) for i, t in given), key=repr)
+    assert tokens.count_tokens(table(spark, []), PATH, head).count() == 0
+
+
+def test_pretokens_are_distinct(spark):
+    docs = table(spark, [(k, f"the same words {k % 3} " + "z" * 50) for k in range(30)])
+    rows = tokens.with_pieces(tokens.word_counts(docs), PATH).collect()
+    assert len({r.key for r in rows}) == len(rows) == 7 and sum(r.c for r in rows) == 150
+    assert len(tokens.most_frequent(spark.createDataFrame(rows), 4)) == 4
 
 
 def brute_classes(rows):

@@ -1,29 +1,35 @@
 """Token counts without token ids.
 
 Pre-tokens are the runs that no merge of the tokenizer can cross: white space as the
-model marks it plus the letters up to the next mark or line end. Each document is
-reduced to its pre-token frequencies, the pieces of each distinct pre-token are
-counted once, and a document's count is the sum of frequency times pieces. The join
-between frequencies and counts stays inside the worker that made both: sending the
-(document, pre-token) pairs through a shuffle would move more than the corpus. What
-a worker remembers is bounded and lost without harm.
+model marks it plus the letters up to the next mark or line end. One relation holds
+each distinct pre-token of all texts with its frequency, and its pieces are counted
+there, once. It is joined to the documents' pre-token frequencies, and a document's
+count is the sum of frequency times pieces. The join has two parts: the most frequent
+pre-tokens, a bounded number, are broadcast and summed where the text is read; the
+others are joined by a shuffle, where no pre-token has more than about a HEAD-th of
+all occurrences, so none is hot.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
 
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_arrow, table, worker_cache
+from tidemark.llm.common import checkpointed, map_arrow, share, table, worker_cache
 
 MODEL = "piece_bpe_32k.model"
-#: A worker's memory of pieces by pre-token: so many, of at most so many characters.
-HELD, HELD_CHARS = 1 << 19, 64
+#: Pre-tokens whose pieces are broadcast.
+HEAD = 1 << 17
+#: Distinct pre-tokens, and characters of text, that a task counts up before it hands them on.
+HELD, HELD_CHARS = 1 << 18, 1 << 25
+#: A pre-token of more characters is joined by its digest.
+LONG = 32
 #: The mark that the model writes for a space.
 MARK = "▁"
 #: Marked words, and white space before a line's end.
@@ -55,55 +61,103 @@ def can_split(path: str) -> bool:
     return plain and not any(p.type in (1, 4) and ("\n" in p.piece or re.search(f"[^{MARK}]{MARK}", p.piece)) or p.type == 4 for p in model.pieces)
 
 
-def counter(path: str):
-    """A function from a text to its number of tokens."""
-    model = load_model(path)
-    held: dict[str, int] = worker_cache("tokens", f"pieces:{path}", dict)
-    breaks = len(model.encode("\n"))
-
-    def pieces(words: list[str]) -> list[int]:
-        # The model puts a mark before a text, so a marked word goes without its first space;
-        # a bare mark, and a word after a line end, go with a line end whose tokens come off again.
-        marked = [w[0] == " " and len(w) > 1 for w in words]
-        sent = [w[1:] if m else "\n" + w for w, m in zip(words, marked, strict=True)]
-        return [len(x) - (0 if m else breaks) for m, x in zip(marked, model.encode(sent, num_threads=1), strict=True)]
-
-    def count(text: str | None) -> int:
-        if not text:
-            return 0
-        text = " " + text.replace(MARK, " ")
-        seen = Counter(PRETOKEN.findall(text))
-        if missing := [w for w in seen if w not in held]:
-            if len(held) + len(missing) > HELD:
-                held.clear()
-                missing = list(seen)
-            long = 0
-            for w, n in zip(missing, pieces(missing), strict=True):
-                if len(w) <= HELD_CHARS:
-                    held[w] = n
-                else:
-                    long += n * seen.pop(w)
-        else:
-            long = 0
-        # With byte fallback a line end is one token.
-        return long + sum(held[w] * n for w, n in seen.items()) + text.count("\n")
-
-    return count
-
-
-def count_tokens(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, text) to (doc_id, n_bytes, n_tokens), one row for each; null texts are empty."""
+def key(word: str) -> str:
+    """What a pre-token is joined by; no pre-token holds a line end."""
+    return word if len(word) <= LONG else "\n" + hashlib.sha256(word.encode()).hexdigest()
+
+
+def frequencies(text: str) -> Counter:
+    """How often each pre-token occurs in a text; line ends are not among them."""
+    return Counter(PRETOKEN.findall(" " + text.replace(MARK, " ")))
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(key, word, c): each distinct pre-token of all texts once, with its frequency, combined in the task and before the shuffle."""
+
+    def run(batches) -> Iterator[dict]:
+        held, chars = Counter(), 0
+        for (texts,) in batches:
+            for t in filter(None, texts):
+                held.update(frequencies(t))
+                chars += len(t)
+                if len(held) > HELD or chars > HELD_CHARS:
+                    yield rows(held)
+                    held, chars = Counter(), 0
+        yield rows(held)
+
+    def rows(held: Counter) -> dict:
+        return {"key": [key(w) for w in held], "word": [w if len(w) > LONG else None for w in held], "n": list(held.values())}
+
+    made = map_arrow(docs.select("text"), run, "key string, word string, n long")
+    return made.groupBy("key", "word").agg(F.sum("n").alias("c")).withColumn("word", F.coalesce("word", "key"))
+
+
+def with_pieces(words: DataFrame, path: str) -> DataFrame:
+    """(key, c, pieces) of distinct pre-tokens."""
+
+    def run(batches) -> Iterator[dict]:
+        model = load_model(path)
+        breaks = len(model.encode("\n"))
+        for keys, texts, c in batches:
+            # The model puts a mark before a text, so a marked word goes without its first space;
+            # a bare mark, and a word after a line end, go with a line end whose tokens come off again.
+            marked = [w[0] == " " and len(w) > 1 for w in texts]
+            sent = [w[1:] if m else "\n" + w for w, m in zip(texts, marked, strict=True)]
+            pieces = [len(x) - (0 if m else breaks) for m, x in zip(marked, model.encode(sent, num_threads=1), strict=True)]
+            yield {"key": keys, "c": c, "pieces": pieces}
+
+    return map_arrow(words.select("key", "word", "c"), run, "key string, c long, pieces long")
+
+
+def most_frequent(words: DataFrame, most: int) -> list[Row]:
+    """(key, pieces) of the pre-tokens above the least frequency, by a histogram, that leaves no more than most."""
+    step = F.floor(F.log2("c") * 64)
+    total, least = 0, None
+    for r in sorted(words.groupBy(step.alias("step")).count().collect(), reverse=True):
+        total += r["count"]
+        if total > most:
+            break
+        least = r["step"]
+    return words.where(step >= least).select("key", "pieces").collect() if least is not None else []
+
+
+def count_tokens(docs: DataFrame, path: str, head: int = HEAD) -> DataFrame:
+    """(doc_id, text) to (doc_id, n_bytes, n_tokens), one row for each; null texts are empty.
+
+    Rows are told apart by their place in the written frequencies, so repeated and null
+    ids keep their rows. Other columns of docs are not looked at.
+    """
     spark = docs.sparkSession
-    assert can_split(path), "this model's merges can cross the pre-tokens"
+    if not can_split(path):
+        raise ValueError("this model's merges can cross the pre-tokens")
     spark.sparkContext.addFile(path)
+    words = checkpointed(with_pieces(word_counts(docs), path))  # read by the histogram, the head and the tail
+    held = share(spark, {r.key: r.pieces for r in most_frequent(words, head)})
 
     def run(batches) -> Iterator[dict]:
-        count = counter(path)
+        known = held()
         for ids, texts in batches:
-            yield {"doc_id": ids, "n_bytes": [len(t.encode()) if t else 0 for t in texts], "n_tokens": [count(t) for t in texts]}
+            sums, tails = [], []
+            for t in texts:
+                n, tail = 0, []
+                if t:
+                    n = t.count("\n")  # with byte fallback a line end is one token
+                    for w, times in frequencies(t).items():
+                        k = w if len(w) <= LONG else key(w)
+                        if (pieces := known.get(k)) is None:
+                            tail.append((k, times))
+                        else:
+                            n += pieces * times
+                sums.append(n)
+                tails.append(tail)
+            yield {"doc_id": ids, "n_bytes": [len(t.encode()) if t else 0 for t in texts], "n": sums, "tail": tails}
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_bytes long, n_tokens long")
+    made = checkpointed(map_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_bytes long, n long, tail map<string,long>"))
+    made = made.withColumn("row", F.monotonically_increasing_id())
+    rare = made.select("row", F.explode("tail").alias("key", "times")).join(words.select("key", "pieces"), "key")
+    sums = made.select("row", "doc_id", "n_bytes", "n").unionByName(rare.select("row", (F.col("times") * F.col("pieces")).alias("n")), allowMissingColumns=True)
+    return sums.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("n").alias("n_tokens")).drop("row")
 
 
 def model_path(name: str = MODEL) -> str:
