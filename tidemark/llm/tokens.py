@@ -7,7 +7,9 @@ there, once. It is joined to the documents' pre-token frequencies, and a documen
 count is the sum of frequency times pieces. The join has two parts: the most frequent
 pre-tokens, a bounded number, are broadcast and summed where the text is read; the
 others are joined by a shuffle, where no pre-token has more than about a HEAD-th of
-all occurrences, so none is hot.
+all occurrences, so none is hot. A pre-token that occurs once in all texts has no
+other place to share its count with: it is left out of the joined relation, and
+counted where the join finds nothing for it.
 """
 
 from __future__ import annotations
@@ -92,23 +94,38 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return made.groupBy("key", "word").agg(F.sum("n").alias("c")).withColumn("word", F.coalesce("word", "key"))
 
 
+def piece_counts(path: str, words: list[str]) -> list[int]:
+    """Pieces of each word."""
+    model = load_model(path)
+    breaks = len(model.encode("\n"))
+    # The model puts a mark before a text, so a marked word goes without its first space;
+    # a bare mark, and a word after a line end, go with a line end whose tokens come off again.
+    marked = [w[0] == " " and len(w) > 1 for w in words]
+    sent = [w[1:] if m else "\n" + w for w, m in zip(words, marked, strict=True)]
+    return [len(x) - (0 if m else breaks) for m, x in zip(marked, model.encode(sent, num_threads=1), strict=True)]
+
+
 def with_pieces(words: DataFrame, path: str) -> DataFrame:
     """(key, c, pieces) of distinct pre-tokens."""
 
     def run(batches) -> Iterator[dict]:
-        model = load_model(path)
-        breaks = len(model.encode("\n"))
         for keys, texts, c in batches:
-            # The model puts a mark before a text, so a marked word goes without its first space;
-            # a bare mark, and a word after a line end, go with a line end whose tokens come off again.
-            marked = [w[0] == " " and len(w) > 1 for w in texts]
-            sent = [w[1:] if m else "\n" + w for w, m in zip(texts, marked, strict=True)]
-            pieces = [len(x) - (0 if m else breaks) for m, x in zip(marked, model.encode(sent, num_threads=1), strict=True)]
-            yield {"key": keys, "c": c, "pieces": pieces}
+            yield {"key": keys, "c": c, "pieces": piece_counts(path, texts)}
 
     return map_arrow(words.select("key", "word", "c"), run, "key string, c long, pieces long")
 
 
+def with_lone_pieces(rare: DataFrame, path: str) -> DataFrame:
+    """(row, word, times, pieces) to (row, n), where pieces that are null, those of pre-tokens outside the relation, are counted."""
+
+    def run(batches) -> Iterator[dict]:
+        for rows, texts, times, pieces in batches:
+            lone = iter(piece_counts(path, [w for w, p in zip(texts, pieces, strict=True) if p is None]))
+            yield {"row": rows, "n": [t * (next(lone) if p is None else p) for t, p in zip(times, pieces, strict=True)]}
+
+    return map_arrow(rare.select("row", "word", "times", "pieces"), run, "row long, n long")
+
+
 def most_frequent(words: DataFrame, most: int) -> list[Row]:
     """(key, pieces) of the pre-tokens above the least frequency, by a histogram, that leaves no more than most."""
     step = F.floor(F.log2("c") * 64)
@@ -131,7 +148,7 @@ def count_tokens(docs: DataFrame, path: str, head: int = HEAD) -> DataFrame:
     if not can_split(path):
         raise ValueError("this model's merges can cross the pre-tokens")
     spark.sparkContext.addFile(path)
-    words = checkpointed(with_pieces(word_counts(docs), path))  # read by the histogram, the head and the tail
+    words = checkpointed(with_pieces(word_counts(docs).where("c > 1"), path))  # read by the histogram, the head and the tail
     held = share(spark, {r.key: r.pieces for r in most_frequent(words, head)})
 
     def run(batches) -> Iterator[dict]:
@@ -143,9 +160,8 @@ def count_tokens(docs: DataFrame, path: str, head: int = HEAD) -> DataFrame:
                 if t:
                     n = t.count("\n")  # with byte fallback a line end is one token
                     for w, times in frequencies(t).items():
-                        k = w if len(w) <= LONG else key(w)
-                        if (pieces := known.get(k)) is None:
-                            tail.append((k, times))
+                        if (pieces := known.get(w if len(w) <= LONG else key(w))) is None:
+                            tail.append((w, times))
                         else:
                             n += pieces * times
                 sums.append(n)
@@ -155,8 +171,11 @@ def count_tokens(docs: DataFrame, path: str, head: int = HEAD) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     made = checkpointed(map_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_bytes long, n long, tail map<string,long>"))
     made = made.withColumn("row", F.monotonically_increasing_id())
-    rare = made.select("row", F.explode("tail").alias("key", "times")).join(words.select("key", "pieces"), "key")
-    sums = made.select("row", "doc_id", "n_bytes", "n").unionByName(rare.select("row", (F.col("times") * F.col("pieces")).alias("n")), allowMissingColumns=True)
+    long = F.length("word") > LONG
+    rare = made.select("row", F.explode("tail").alias("word", "times"))
+    keyed = rare.select("row", "times", F.when(long, F.concat(F.lit("\n"), F.sha2("word", 256))).otherwise(F.col("word")).alias("key"), F.when(long, F.col("word")).alias("word"))
+    joined = keyed.join(words.select("key", "pieces"), "key", "left").withColumn("word", F.coalesce("word", "key"))
+    sums = made.select("row", "doc_id", "n_bytes", "n").unionByName(with_lone_pieces(joined, path), allowMissingColumns=True)
     return sums.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("n").alias("n_tokens")).drop("row")
 
 
