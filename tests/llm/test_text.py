@@ -5,13 +5,18 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import sys
+import time
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, jaccard, lm, pieces, tokens, toxicity
-from tidemark.llm.common import TOKENS, WORDS, split
+from tidemark.llm.common import TOKENS, WORDS, map_arrow, split, worker_cache
 
 DOCS = "doc_id long, text string, n_words string, items int"
 PATH = tokens.model_path()
@@ -258,6 +263,33 @@ def test_toxicity_without_labels(spark):
     assert [r.score < toxicity.THRESHOLD for r in toxicity.score(table(spark, [(1, "a"), (2, None)]), model, ["doc_id"]).collect()] == [True, True]
 
 
+def test_toxicity_holds_its_examples_in_little_memory():
+    rng = np.random.default_rng(3)
+    ats = [np.flatnonzero(rng.random(1 << 20) < 0.1) for _ in range(60)]
+    for at in [*ats[:2], np.arange(1 << 20), np.empty(0, np.int64), np.array([65535, 65536, (1 << 20) - 1])]:
+        assert np.array_equal(toxicity.unpacked(*toxicity.packed(at)), at)
+    tracemalloc.start()
+    toxicity.train((at, i % 2) for i, at in enumerate(ats))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 4 * 8 * 2**20 + 2.5 * sum(map(len, ats)) + 2**24  # the optimiser's numbers, two bytes a feature, and one example's
+
+
+def test_idle_workers_drop_their_caches(spark):
+    def hold(batches):
+        for (ids,) in batches:
+            yield {"n": [len(worker_cache("test_text", "big", lambda: bytes(1 << 20)))] * len(ids)}
+
+    def look(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(sys.__dict__.get("_tidemark_held", {}))] * b.num_rows, pa.int64())], ["n"])
+
+    rows = spark.range(8, numPartitions=4)
+    assert {r.n for r in map_arrow(rows, hold, "n long").collect()} == {1 << 20}
+    time.sleep(3)
+    assert {r.n for r in rows.mapInArrow(look, "n long").collect()} == {0}
+
+
 def test_lm_scores(spark):
     import math
     import zlib

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import pickle
 import sys
+import threading
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -42,20 +44,48 @@ def split(text: str | None, how: bytes) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(how).split() if text else []
 
 
+#: Seconds without a task after which a Python worker gives its memory back.
+IDLE = 1.0
+
+
 def worker_cache(owner: str, name: str, make: Callable[[], object]):
-    """A value that a Python worker keeps between its tasks; losing the worker only costs time.
+    """A value that a Python worker keeps between its tasks; losing it only costs time.
 
     It is kept on sys, since modules that travel by value are made anew for each task.
-    Values of another owner, the operator that the worker served before, are dropped.
+    The owner is the operator's module. Values of another owner, the operator that the
+    worker served before, are dropped; so are all of them when the worker has no task.
     """
     held = sys.__dict__.setdefault("_tidemark_held", {})
-    if owner not in held:
+    if (mine := held.get(owner)) is None:
         held.clear()
-        held[owner] = {}
-    mine = held[owner]
-    if name not in mine:
-        mine[name] = make()
-    return mine[name]
+        mine = held[owner] = {}
+    if (value := mine.get(name)) is None:
+        value = mine[name] = make()
+    return value
+
+
+def _drop_caches() -> None:
+    """Drops what worker_cache holds; freed memory goes back to the system, where the C library can do that."""
+    sys.__dict__.get("_tidemark_held", {}).clear()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
+def _begin_task(owner: str) -> None:
+    if timer := sys.__dict__.pop("_tidemark_idle", None):
+        timer.cancel()
+    if sys.__dict__.get("_tidemark_held", {}).keys() - {owner}:
+        _drop_caches()
+
+
+def _end_task() -> None:
+    """Spark keeps idle workers for as long as others of the executor have tasks."""
+    pa.default_memory_pool().release_unused()
+    timer = sys.__dict__["_tidemark_idle"] = threading.Timer(IDLE, _drop_caches)
+    timer.daemon = True
+    timer.start()
 
 
 def share(spark: SparkSession, value) -> Callable[[], object]:
@@ -105,10 +135,15 @@ def map_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(out)
+    owner = fn.__module__.rpartition(".")[2]
 
     def run(batches):
+        _begin_task(owner)
         lists = ([c.to_pylist() for c in b.slice(at, ROWS).columns] for b in batches for at in range(0, b.num_rows, ROWS))
-        for made in fn(lists):
-            yield pa.RecordBatch.from_arrays([pa.array(made[f.name], type=f.type) for f in arrow], schema=arrow)
+        try:
+            for made in fn(lists):
+                yield pa.RecordBatch.from_arrays([pa.array(made[f.name], type=f.type) for f in arrow], schema=arrow)
+        finally:
+            _end_task()
 
     return df.mapInArrow(run, out)

@@ -12,13 +12,13 @@ bounded by TRAIN_ROWS, and scoring reads every text whole.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORDS, held_out, map_arrow, share, split, table, worker_cache
+from tidemark.llm.common import WORDS, held_out, map_arrow, share, split, table
 
 #: Labelled documents that the classifier is fitted on at most: those with the smallest hashes of their ids.
 TRAIN_ROWS = 1 << 14
@@ -26,16 +26,6 @@ TRAIN_ROWS = 1 << 14
 BITS, ALPHA, BETA, L1, PASSES = 20, 2.0, 1.0, 3.0, 5
 #: Scores from here on count as toxic.
 THRESHOLD = 0.3
-#: Words whose hashes a worker remembers.
-HELD = 1 << 18
-
-
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= HELD:
-            self.clear()
-        value = self[word] = zlib.crc32(word) * 0x9E3779B1 & 0xFFFFFFFF
-        return value
 
 
 def features(text: str | None, bits: int = BITS) -> np.ndarray:
@@ -43,8 +33,7 @@ def features(text: str | None, bits: int = BITS) -> np.ndarray:
     words = split(text, WORDS)
     if not words:
         return np.empty(0, np.int64)
-    known = worker_cache("toxicity", "word hashes", _Hashes)
-    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(zlib.crc32, words), np.uint64, len(words)) * np.uint64(0x9E3779B1) & np.uint64(0xFFFFFFFF)
     pair = (h[:-1] * np.uint64(0x85EBCA77C2B2AE63)) ^ h[1:]
     skip = (h[:-2] * np.uint64(0xD6E8FEB86659FD93)) ^ h[2:]
     mixed = np.concatenate([h, pair, skip]) * np.uint64(0x9E3779B97F4A7C15)
@@ -76,21 +65,33 @@ class Ftrl:
         self.bias_n += error * error
 
 
-def train(examples: list[tuple[np.ndarray, int]], bits: int = BITS) -> tuple[np.ndarray, np.ndarray, float]:
+def packed(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted feature numbers in two bytes each: their lower halves, and how many there are of each upper half."""
+    return at.astype(np.uint16), np.bincount(at >> 16).astype(np.int32)
+
+
+def unpacked(low: np.ndarray, per: np.ndarray) -> np.ndarray:
+    return np.repeat(np.arange(len(per)) << 16, per) + low
+
+
+def train(examples: Iterable[tuple[np.ndarray, int]], bits: int = BITS) -> tuple[np.ndarray, np.ndarray, float]:
     """Feature numbers and weights that are not zero, and the bias. Without examples the bias rejects nothing."""
-    if not examples:
+    rarity, held = np.zeros(2**bits), []
+    for at, y in examples:
+        rarity[at] += 1
+        held.append((*packed(at), y))
+    if not held:
         return np.empty(0, np.int64), np.empty(0), -35.0
-    seen = np.zeros(2**bits)
-    for at, _ in examples:
-        seen[at] += 1
-    rarity = np.log((len(examples) + 1) / (seen + 1)) / np.log(len(examples) + 1)
+    rarity += 1
+    np.log(np.divide(len(held) + 1, rarity, out=rarity), out=rarity)
+    rarity /= np.log(len(held) + 1)
     model = Ftrl(rarity)
     for _ in range(PASSES):
-        for at, y in examples:
-            model.learn(at, y)
-    w = model.weights(np.arange(2**bits)) * rarity
-    kept = np.flatnonzero(w)
-    return kept, w[kept], model.bias()
+        for low, per, y in held:
+            model.learn(unpacked(low, per), y)
+    kept = np.flatnonzero(np.abs(model.z) > L1)
+    w = model.weights(kept) * rarity[kept]
+    return kept[w != 0], w[w != 0], model.bias()
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[np.ndarray, np.ndarray, float]:
@@ -107,7 +108,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[np.
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").repartition(1).sortWithinPartitions("_o", "doc_id", "text")
 
     def run(batches) -> Iterator[dict]:
-        at, w, bias = train([(features(t).astype(np.int32), int(y)) for texts, toxic in batches for t, y in zip(texts, toxic, strict=True)])
+        at, w, bias = train((features(t), int(y)) for texts, toxic in batches for t, y in zip(texts, toxic, strict=True))
         yield {"at": [-1, *at.tolist()], "w": [bias, *w.tolist()]}
 
     got = map_arrow(texts.select("text", "toxic"), run, "at long, w double").collect()
